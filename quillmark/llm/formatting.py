@@ -24,7 +24,6 @@ from quillmark.operators.skew import skew_join
 from quillmark.session import materialize, read_table
 
 _DATE = re.compile(r"(?<!\w)(?:1[6-9]|20)\d\d(?:\W+\d+){1,3}(?!\w)")
-_INITIALS = re.compile(r"(?:[^\W\d_]\W*){1,3}")
 
 
 def stripped(s: str | None) -> str:
@@ -33,15 +32,18 @@ def stripped(s: str | None) -> str:
 
 
 def _is_author(piece: str) -> bool:
-    """Whether a piece of a citation reads as one author: surname and initials, initials alone, or et al."""
-    words = [w for w in re.split(r"[\s.]+", piece.strip()) if w]
-    if not words:
+    """Whether a piece of a citation reads as authors: surnames each followed by initials, initials alone, or et al."""
+    words = [w for w in re.split(r"[\s.]+", piece.strip().casefold()) if w]
+    if words[-2:] == ["et", "al"]:
+        words = words[:-2]
+        if not words:
+            return True
+    if not words or not all(w[0].isalpha() for w in words):
         return False
-    if "".join(words).casefold() == "etal":
-        return True
+    initial = [len(w) <= 2 for w in words]
     if len(words) == 1:
-        return len(words[0]) <= 2 and words[0].isalpha()
-    return len(words) <= 5 and all(len(w) <= 2 and w.isalpha() for w in words[1:]) and words[0].isalpha()
+        return initial[0]
+    return not initial[0] and initial[-1] and not any(not a and not b for a, b in zip(initial, initial[1:]))
 
 
 def citation_key(citation: str | None, title: str | None) -> str:

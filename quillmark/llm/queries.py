@@ -1,7 +1,7 @@
 """The queries and SQL of this subpackage."""
 
-from quillmark.llm import formatting, matching, splitting
+from quillmark.llm import formatting, matching, mixing, sampling, splitting
 
-_MODULES = [splitting, matching, formatting]
+_MODULES = [splitting, matching, formatting, sampling, mixing]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
