@@ -29,6 +29,22 @@ def global_position(df: DataFrame, order: list[str], name: str = "pos", weight:
     return joined.withColumn(name, F.col("_off") + F.sum(value).over(inside)).drop("_part", "_off")
 
 
+def group_position(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """df with the 1-based position of every row within its group, however large a group is.
+
+    Rows are range-partitioned by group and order; a group that spans several ranges gets the offsets of its earlier
+    ranges. At most as many groups span ranges as there are ranges, so the table of offsets stays small.
+    """
+    ranged = materialize(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    spanning = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*group)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(F.broadcast(spanning), group).select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    placed = ranged.withColumn("_in", inside).join(F.broadcast(offsets), [*group, "_part"], "left")
+    return placed.withColumn(name, F.coalesce("_off", F.lit(0)) + F.col("_in")).drop("_off", "_in", "_part")
+
+
 def parse_interval(text: str) -> tuple[int, int]:
     """"N" is 1..N, "A-B" is A..B, 1-based and inclusive (WN2)."""
     m = re.fullmatch(r"\s*(?:(\d+)\s*-\s*)?(\d+)\s*", text)
@@ -72,8 +88,8 @@ def until_target(df: DataFrame, order: list[str], hit: str, target: int, existin
 
 def batches(df: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
     """df with the number of its batch of `size` rows within the group, from 0 (SL9)."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("batch_no", F.floor((rank - 1) / size).cast("int"))
+    placed = group_position(df, [group], order, "_rank")
+    return placed.withColumn("batch_no", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank")
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

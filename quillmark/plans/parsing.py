@@ -1 +1,101 @@
+"""Queries of document parsing: articles as XML and back, anchors, decoded model output."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillmark.functions import text as tx
+from quillmark.operators import jats, nested
+from quillmark.plans.fixtures import LATEST_SQL, latest_papers
+from quillmark.session import read_table
+
 QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _escaped(c: str):
+    x = F.coalesce(c, F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def _articles(spark, d):
+    """The latest papers written as JATS and parsed back."""
+    secs = [F.concat(F.lit(f"<sec><title>{t}</title><p>"), _escaped(c), F.lit("</p></sec>")) for t, c in (("1. Introduction", "introduction"), ("Materials and Methods", "methods"), ("Results", "results"), ("Discussion", "discussion"), ("Conclusions", "conclusions"))]
+    xml = F.concat(
+        F.lit('<article-set><article article-type="research-article"><front><journal-meta><journal-title>'), _escaped("journal"), F.lit("</journal-title></journal-meta><article-meta>"),
+        F.lit('<article-id pub-id-type="pmc">'), F.col("paper"), F.lit('</article-id><article-id pub-id-type="doi">'), _escaped("doi"), F.lit("</article-id><title-group><article-title><italic>"),
+        _escaped("title"), F.lit("</italic></article-title></title-group><pub-date pub-type=\"epub\"><year>"), F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit("</year></pub-date><abstract><p>"), _escaped("abstract"),
+        F.lit("</p></abstract></article-meta></front><body>"), *secs, F.lit("</body></article></article-set>"),
+    )
+    return jats.parse_articles(latest_papers(spark, d).select("paper", xml.alias("xml")), "paper", "xml")
+
+
+def _flat(c: str) -> str:
+    return rf"trim(regexp_replace(coalesce({c}, ''), '[\s\x0b\x{{85}}\x{{1c}}-\x{{1f}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH {LATEST_SQL} SELECT paper, 'PMC' || paper AS pmcid, {_flat('title')} AS title, {_flat('abstract')} AS abstract, {_flat('journal')} AS journal, coalesce(doi, '') AS doi, coalesce("year", 0) AS "year" FROM latest""")
+def jats_title(spark, d):
+    """Front matter through XML and back (PRJ1-PRJ3)."""
+    return _articles(spark, d).select("paper", "pmcid", "title", "abstract", "journal", "doi", "year")
+
+
+@query(f"""WITH {LATEST_SQL} SELECT paper, {', '.join(f"{_flat(c)} AS {c}" for c in ('introduction', 'methods', 'results', 'discussion', 'conclusions'))} FROM latest""")
+def jats_sections(spark, d):
+    """Section buckets through XML and back (PRJ4, PRJ6)."""
+    return _articles(spark, d).select("paper", "introduction", "methods", "results", "discussion", "conclusions")
+
+
+@query(f"""WITH r AS (SELECT row_id, {_flat('title')} AS title, {_flat('journal')} AS journal, {_flat("CAST(year AS VARCHAR)")} AS "year", {_flat('doi')} AS doi, {_flat('pmid')} AS pmid FROM reference_record) SELECT * FROM r""")
+def jats_refs(spark, d):
+    """Reference lists through XML and back (PRJ9)."""
+    ref = F.concat(
+        F.lit('<article><front><article-meta/></front><back><ref-list><ref id="R1"><element-citation><article-title>'), _escaped("title"), F.lit("</article-title><source>"), _escaped("journal"), F.lit("</source><year>"), _escaped("year"),
+        F.lit('</year><pub-id pub-id-type="doi">'), _escaped("doi"), F.lit('</pub-id><pub-id pub-id-type="pmid">'), _escaped("pmid"), F.lit("</pub-id></element-citation></ref></ref-list></back></article>"),
+    )
+    a = jats.parse_articles(read_table(spark, d, "reference_record").select("row_id", ref.alias("xml")), "row_id", "xml")
+    return jats.references(a, "row_id").select("row_id", "title", "journal", "year", "doi", "pmid")
+
+
+def _plain(c: str) -> str:
+    """Typography normalised, as far as SQL can: compatibility forms are left out, which the titles do not have."""
+    return rf"""trim(regexp_replace(translate({c}, '‘’“”‐‑‒–—', E'\'\'""-----'), '[\s\x0b\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"""
+
+
+@query(f"""SELECT row_id, coalesce({_plain('title')} <> '' AND contains({_plain('citation_text')}, {_plain('title')}), false) AS held FROM reference_record""")
+def anchor_containment(spark, d):
+    """Whether a reference's title stands verbatim in its citation, typography aside (SC3, SC4)."""
+    return read_table(spark, d, "reference_record").select("row_id", tx.contains_anchor(F.col("citation_text"), F.col("title")).alias("held"))
+
+
+@query()
+def audit_decode(spark, d):
+    """Decision and schema version of every decodable audit (SC22, VA1, SRC11)."""
+    records = nested.canonical_records(read_table(spark, d, "feasibility_audit"), "audit_id", "audit_json", nested.AUDIT_KEYS, declared=nested.AUDIT_LISTS)
+    return records.select("audit_id", F.get_json_object("record", "$.schema_version").alias("schema_version"), F.upper(F.get_json_object("record", "$.decision")).alias("decision"))
+
+
+@query()
+def audit_violations(spark, d):
+    """Audits whose decision is none of the two, or that lack facts, assessments or coverage (VA1, VA9)."""
+    from quillmark.operators import validate
+
+    records = nested.canonical_records(read_table(spark, d, "feasibility_audit"), "audit_id", "audit_json", nested.AUDIT_KEYS, declared=nested.AUDIT_LISTS)
+    j = lambda p: F.get_json_object("record", p)
+    return validate.violations(records, ["audit_id"], [
+        ("decision", ~F.coalesce(F.upper(j("$.decision")).isin("INCLUDE", "EXCLUDE"), F.lit(False)), j("$.decision")),
+        ("no_facts", j("$.candidate_reasoning.candidate_facts[0]").isNull(), F.lit("")),
+        ("no_assessments", j("$.evidence_assessments[0]").isNull(), F.lit("")),
+        ("no_coverage", j("$.fact_coverage[0]").isNull(), F.lit("")),
+    ])
