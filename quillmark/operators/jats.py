@@ -22,7 +22,7 @@ references array<struct<reference_id:string,ordinal:int,citation_text:string,tit
 figures array<struct<figure_id:string,label:string,caption:string,href:string>>"""
 
 #: Section buckets in their order, with the words of a title that decide.
-BUCKETS = {"introduction": ("introduction", "background"), "methods": ("method", "material"), "results": ("result",), "discussion": ("discussion",), "conclusions": ("conclusion",)}
+BUCKETS = {"introduction": ("intro", "background"), "methods": ("method", "material"), "results": ("result",), "discussion": ("discussion",), "conclusions": ("conclusion",)}
 _HREF = "{http://www.w3.org/1999/xlink}href"
 
 

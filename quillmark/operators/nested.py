@@ -21,7 +21,6 @@ from quillmark.session import materialize, read_table
 #: Bound of what schema inference sends to the driver: distinct paths of the merged schema.
 MAX_PATHS = 20_000
 _DECODER = json.JSONDecoder(parse_constant=lambda x: None)
-MISSING = object()
 
 
 def _decoded(v):
@@ -39,22 +38,22 @@ def _is_record(v, keys: frozenset[str], least: int) -> bool:
 
 
 def _unwrapped(v, keys: frozenset[str], least: int, depth: int = 0):
-    """The record in v or in what v wraps (an object, a list or encoded text), or MISSING."""
+    """The record in v or in what v wraps (an object, a list or encoded text), or None."""
     v = _decoded(v)
     if _is_record(v, keys, least):
         return v
     if depth < 6 and isinstance(v, (dict, list)):
         for x in v.values() if isinstance(v, dict) else v:
-            if isinstance(x, (dict, list, str)) and (found := _unwrapped(x, keys, least, depth + 1)) is not MISSING:
+            if isinstance(x, (dict, list, str)) and (found := _unwrapped(x, keys, least, depth + 1)) is not None:
                 return found
-    return MISSING
+    return None
 
 
 def extract_record(text: str | None, keys: frozenset[str], least: int = 2):
-    """The first complete record in a text, or MISSING. A record is an object with at least ``least`` of the keys."""
+    """The first complete record in a text, or None. A record is an object with at least ``least`` of the keys."""
     if not text:
-        return MISSING
-    if (found := _unwrapped(text, keys, least)) is not MISSING:
+        return None
+    if (found := _unwrapped(text, keys, least)) is not None:
         return found
     at, end = 0, len(text)
     while at < end:
@@ -67,10 +66,10 @@ def extract_record(text: str | None, keys: frozenset[str], least: int = 2):
         except (ValueError, RecursionError):
             at += 1
             continue
-        if (found := _unwrapped(v, keys, least)) is not MISSING:
+        if (found := _unwrapped(v, keys, least)) is not None:
             return found
         at = max(stop, at + 1)
-    return MISSING
+    return None
 
 
 def _entries(v, fields: frozenset[str]) -> list:
@@ -140,7 +139,7 @@ def infer_shape(records: DataFrame, text: str, keys: list[str], least: int = 2,
         for pdf in batches:
             seen: dict[tuple[str, str], int] = {}
             for s in pdf[text]:
-                if (v := extract_record(s, wanted, least)) is not MISSING:
+                if (v := extract_record(s, wanted, least)) is not None:
                     _walk(v, "$", False, seen)
             yield pd.DataFrame([(p, k, n) for (p, k), n in seen.items()], columns=["path", "kind", "n"]).astype({"n": "int64"})
 
@@ -177,7 +176,7 @@ def canonical_records(df: DataFrame, key: str, text: str, keys: list[str], least
         for pdf in batches:
             k, out = [], []
             for a, s in zip(pdf[key], pdf[text]):
-                if (v := extract_record(s, wanted, least)) is not MISSING:
+                if (v := extract_record(s, wanted, least)) is not None:
                     k.append(a)
                     out.append(json.dumps(_shaped(v, "$", lists, objects), ensure_ascii=False))
             yield pd.DataFrame({key: pd.Series(k, dtype=pdf[key].dtype), "record": pd.Series(out, dtype=object)})

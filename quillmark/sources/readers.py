@@ -93,5 +93,5 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
 
 def article_member(members: DataFrame) -> DataFrame:
     """(archive, member, xml): the first XML member, by name, that has article metadata (SRC16)."""
-    x = members.filter(F.col("base").rlike(r"\.n?xml$") & F.col("content").isNotNull()).withColumn("xml", F.decode("content", F.lit("UTF-8")))
+    x = members.filter(F.col("base").rlike(r"\.n?xml$") & F.col("content").isNotNull()).withColumn("xml", F.decode("content", "UTF-8"))
     return x.filter(F.contains("xml", F.lit("<article-meta"))).groupBy("archive").agg(F.min("member").alias("member"), F.min_by("xml", "member").alias("xml"))
