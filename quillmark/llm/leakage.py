@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from quillmark.session import materialize, read_table
 
 #: Units of a document's passage and their distance; of an item's passage and their distance.
-PASSAGE, STRIDE, ITEM_PASSAGE, ITEM_STRIDE = 24, 8, 12, 4
-RANK, OVERSAMPLE, POWER, COSINE = 256, 16, 1, 0.5
+PASSAGE, STRIDE, ITEM_PASSAGE, ITEM_STRIDE = 24, 12, 12, 4
+RANK, OVERSAMPLE, POWER, COSINE = 192, 16, 1, 0.42
+#: Fewest terms of the items a passage with a run of theirs can have: two long names and a character between them.
+LEAST = 3
 #: Words (characters for Chinese items) of a run that count as a leak; bounds of what is sent to every executor.
 RUN_WORDS, RUN_CHARS, MAX_ITEMS, MAX_TERMS = 12, 24, 5_000, 60_000
 #: A paraphrase: at least this share of the item's words in order and of its telling terms.
@@ -86,6 +88,10 @@ class Item:
         self.dense = (lang or "").casefold()[:2] == "zh" or len(_DENSE.findall(self.stream)) > len(self.stream) / 3
         self.units = units(text)
         self.telling = {u for u in self.units if any(c.isdigit() for c in u) or (len(u) > 9 and not _DENSE.search(u))}
+        # every shortest run that counts, for a quick look before the run is measured
+        self.size, self.least = (len(self.stream), RUN_CHARS) if self.dense else (len(self.words), RUN_WORDS)
+        k, seq = min(self.least, self.size), self.stream if self.dense else self.words
+        self.pieces = {"".join(seq[p:p + k]) for p in range(self.size - k + 1)}
         masks: dict[str, int] = {}
         for i, u in enumerate(self.units):
             masks[u] = masks.get(u, 0) | 1 << i
@@ -141,7 +147,7 @@ def passages(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """One row per passage with terms of the vocabulary: their numbers, repeats included."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [x for s in pdf["text"] if s for x in _sparse(units(s), vocabulary, PASSAGE, STRIDE) if len(x) > 1]
+            rows = [x for s in pdf["text"] if s for x in _sparse(units(s), vocabulary, PASSAGE, STRIDE) if len(x) >= LEAST]
             yield pd.DataFrame({"terms": pd.Series(rows, dtype=object)})
 
     return documents.select("text").filter("text is not null and text <> ''").mapInPandas(run, "terms array<int>")
@@ -237,19 +243,15 @@ class LatentSpace:
         size = min(rank + OVERSAMPLE, len(terms))
         basis = rng.standard_normal((len(terms), size)).astype(np.float32)
         weight = max(1.0, n / max(1, len(own)))
-        for _ in range(power + 1):
+        for step in range(power + 1):
             y = _gram_times(rows, self.idf, basis)
-            t, v = _transposed_times(row, term, w, _times(row, term, w, len(own), basis)) if len(row) else (np.zeros(0, int), np.zeros((0, size)))
-            y[t] += weight * v
-            basis = np.linalg.qr(y)[0].astype(np.float32)
-        # directions of the range ordered by energy: Rayleigh-Ritz on the small projected matrix
-        y = _gram_times(rows, self.idf, basis)
-        if len(row):
-            t, v = _transposed_times(row, term, w, _times(row, term, w, len(own), basis))
-            y[t] += weight * v
-        values, vectors = np.linalg.eigh(basis.T.astype(np.float64) @ y)
-        keep = np.argsort(values)[::-1][:rank]
-        self.basis = (basis @ vectors[:, keep]).astype(np.float32)
+            if len(row):
+                t, v = _transposed_times(row, term, w, _times(row, term, w, len(own), basis))
+                y[t] += weight * v
+            if step < power:
+                basis = np.linalg.qr(y)[0].astype(np.float32)
+        # the left singular vectors of the last product, by energy, are the latent directions
+        self.basis = np.linalg.svd(y, full_matrices=False)[0][:, :rank].astype(np.float32)
         self.queries = _unit(_times(row, term, w, len(own), self.basis))
 
     def project(self, rows: list[np.ndarray]) -> np.ndarray:
@@ -308,7 +310,7 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
 
             for d, s in enumerate(texts):
                 for x in _sparse(units(s), space_.vocabulary, PASSAGE, STRIDE):
-                    if len(x) > 1:
+                    if len(x) >= LEAST:
                         rows.append(x)
                         owner.append(d)
                 if len(rows) > 4000:  # between documents, so that a document is searched once
@@ -324,12 +326,16 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
 
 def checked(it: Item, doc_id: int, cosine: float, stream: str, starts: set[int], us: list[str], known: set[str]) -> tuple:
     """The check of one candidate over the whole document; kind is "" if it does not hold."""
-    size, least = (len(it.stream), RUN_CHARS) if it.dense else (len(it.words), RUN_WORDS)
-    run = it.run(stream, starts)
-    lcs = it.common(us) / len(it.units)
     answer = len(it.telling & known) / len(it.telling) if it.telling else 0.0
-    kind = "whole" if run == size else "part" if run >= least else "paraphrase" if lcs >= LCS_SHARE and answer >= ANSWER_SHARE else ""
-    return it.item_id, doc_id, round(float(cosine), 6), run, size, round(lcs, 6), round(answer, 6), kind
+    kind, run, lcs = "", 0, 0.0
+    if any(p in stream for p in it.pieces):
+        run = it.run(stream, starts)
+        kind = "whole" if run == it.size else "part" if run >= it.least else ""
+    if kind or answer >= ANSWER_SHARE:
+        lcs = it.common(us) / len(it.units)
+        if not kind and lcs >= LCS_SHARE:
+            kind, run = "paraphrase", run or it.run(stream, starts)
+    return it.item_id, doc_id, round(float(cosine), 6), run, it.size, round(lcs, 6), round(answer, 6), kind
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
