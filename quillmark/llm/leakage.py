@@ -197,7 +197,7 @@ def _gram_times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarr
                     t, v = _transposed_times(row, term, w, _times(row, term, w, len(part), basis_))
                     total[t] += v
         used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pd.DataFrame({"term": used.astype(np.int32), "v": list(total[used])})
+        yield pd.DataFrame({"term": used.astype(np.int32), "v": pd.Series([*total[used]], dtype=object)})
 
     k = basis.shape[1]
     # few wide tasks, so that what is shuffled does not grow with the number of files
