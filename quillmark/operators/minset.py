@@ -7,6 +7,8 @@ pre-aggregated to the best one, and a group is never larger than that, however m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +42,8 @@ def cover_masks(units: DataFrame, edges: DataFrame, paper: str = "paper", key: s
     return out.withColumn("score", F.bit_count("mask").cast("double"))
 
 
-def _cover(pdf: pd.DataFrame) -> list[int]:
+def _cover(masks: list[int], scores: list[float]) -> list[int]:
     """Positions of an exact minimum cover: fewest references, then greatest total score, then the first found."""
-    masks, scores = pdf["mask"].tolist(), pdf["score"].tolist()
     want = 0
     for m in masks:
         want |= m
@@ -56,17 +57,24 @@ def _cover(pdf: pd.DataFrame) -> list[int]:
 
 
 def minimum_cover(masks: DataFrame, paper: str = "paper", ref: str = "ref") -> DataFrame:
-    """(paper, ref, mask, cover_size): an exact minimum cover of the units that any reference covers (CO3)."""
+    """(paper, ref, mask, cover_size): an exact minimum cover of the units that any reference covers (CO3).
+
+    Of references with the same mask only the best can be in a minimum cover; the rest of a paper's problem is one short
+    array, and many papers are solved per Arrow batch.
+    """
     best = masks.groupBy(paper, "mask").agg(F.min_by(ref, F.struct(-F.col("score"), ref)).alias(ref), F.max("score").alias("score"))
+    packed = best.groupBy(paper).agg(F.array_sort(F.collect_list(F.struct(ref, "mask", "score"))).alias("options"))
     kind = masks.schema[paper].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ref, kind="stable").reset_index(drop=True)
-        out = pdf.iloc[_cover(pdf)][[paper, ref, "mask"]].copy()
-        out["cover_size"] = len(out)
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, options in zip(pdf[paper], pdf["options"]):
+                chosen = _cover([int(o["mask"]) for o in options], [float(o["score"]) for o in options])
+                rows.extend((p, options[i][ref], int(options[i]["mask"]), len(chosen)) for i in chosen)
+            yield pd.DataFrame(rows, columns=[paper, ref, "mask", "cover_size"])
 
-    return best.groupBy(paper).applyInPandas(run, f"{paper} {kind}, {ref} string, mask int, cover_size int")
+    return packed.mapInPandas(run, f"`{paper}` {kind}, `{ref}` string, mask int, cover_size int")
 
 
 def removal_test(cover: DataFrame, paper: str = "paper", ref: str = "ref") -> DataFrame:

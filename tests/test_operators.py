@@ -1,7 +1,6 @@
 import itertools
 import random
 
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,8 +92,7 @@ def test_last_per_key_and_upsert(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 63), min_size=1, max_size=8))
 def test_cover_is_minimal(masks):
-    pdf = pd.DataFrame({"mask": masks, "score": [float(bin(m).count("1")) for m in masks]})
-    chosen = minset._cover(pdf)
+    chosen = minset._cover(masks, [float(bin(m).count("1")) for m in masks])
     goal = 0
     for m in masks:
         goal |= m
