@@ -99,3 +99,27 @@ def audit_violations(spark, d):
         ("no_assessments", j("$.evidence_assessments[0]").isNull(), F.lit("")),
         ("no_coverage", j("$.fact_coverage[0]").isNull(), F.lit("")),
     ])
+
+
+def _assessments(spark, d):
+    from quillmark.operators import reasoning
+
+    t = nested.audit_tables(read_table(spark, d, "feasibility_audit"))["$.evidence_assessments"]
+    want = ["audit_id", "pos_1", "fact_id", "reference_id", "support_level", "article_type", "has_relevant_experimental_figure"]
+    return reasoning.last_assessments(t.select(*[F.col(c) if c in t.columns else F.lit(None).cast("string").alias(c) for c in want]))
+
+
+@query()
+def audit_edges(spark, d):
+    """The last assessment of every fact and reference of every audit that counts as evidence (JN9, FLT6)."""
+    from quillmark.operators import reasoning
+
+    return reasoning.direct_primary(_assessments(spark, d)).select("audit_id", "fact_id", "reference_id")
+
+
+@query()
+def audit_reviews(spark, d):
+    """Reviews with direct support per audit, which are to be traced (FLT7, JN6)."""
+    from quillmark.operators import reasoning
+
+    return reasoning.direct_reviews(_assessments(spark, d)).groupBy("audit_id").agg(F.count(F.lit(1)).alias("n_reviews"), F.countDistinct("reference_id").alias("n_references"))
