@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -24,6 +25,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("QUILLMARK_DRIVER_MEMORY", "8g"))
     )
@@ -55,9 +57,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables materialize wrote for this application; results not yet written out must not depend on them. Returns their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers of every executor, once per application, wherever they run."""
     app = spark.sparkContext.applicationId

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from quillmark.functions.text import pipe_split
+from quillmark.operators.jats import parse_articles
+from quillmark.session import ship_package
 
 LIST_COLUMNS = ("article_types", "source_categories")
 
@@ -95,3 +97,10 @@ def article_member(members: DataFrame) -> DataFrame:
     """(archive, member, xml): the first XML member, by name, that has article metadata (SRC16)."""
     x = members.filter(F.col("base").rlike(r"\.n?xml$") & F.col("content").isNotNull()).withColumn("xml", F.decode("content", "UTF-8"))
     return x.filter(F.contains("xml", F.lit("<article-meta"))).groupBy("archive").agg(F.min("member").alias("member"), F.min_by("xml", "member").alias("xml"))
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed JATS files, one row per file that holds an article, with its path (SRC6)."""
+    ship_package(spark)
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("xml"))
+    return parse_articles(files, "file", "xml")

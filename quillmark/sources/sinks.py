@@ -74,3 +74,23 @@ def write_sealed(df: DataFrame, sealed_columns: list[str], key: list[str], open_
 def write_summary(df: DataFrame, path: str) -> None:
     """A small table, one JSON file (SNK10)."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_packages(tables: dict[str, DataFrame], path: str, key: str = "package_id") -> None:
+    """Packages as related tables, each partitioned by nothing but keyed by the package, instead of a folder per paper (SNK8)."""
+    missing = [n for n, t in tables.items() if key not in t.columns]
+    if missing:
+        raise ValueError(f"tables without {key}: {missing}")
+    for name, t in tables.items():
+        t.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def snapshot(source: str, target: str, spark) -> None:
+    """A copy of an input beside the results, for provenance (SNK11); an existing one is an error."""
+    jvm = spark._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = b.getFileSystem(conf)
+    if fs.exists(b):
+        raise FileExistsError(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, fs, b, False, conf)

@@ -81,3 +81,35 @@ def test_stream_upsert_and_resume(spark, tmp_path):
     assert {r.k: r.v for r in state.collect()} == {"a": "z", "b": "y"}
     req = spark.createDataFrame([("a",), ("c",)], "k string")
     assert [r.k for r in resume.pending(req, state, ["k"]).collect()] == ["c"]
+
+
+def test_search_source(spark, data):
+    from quillmark.session import ship_package
+    from quillmark.sources.datasource import LandedSearch
+
+    ship_package(spark)
+    spark.dataSource.register(LandedSearch)
+    df = spark.read.format("landed_search").options(path=f"{data}/paper.parquet", terms="kinase|spindle", start="2014", end="2024").load()
+    want = spark.read.parquet(f"{data}/paper.parquet").filter("year between 2014 and 2024 and lower(concat(coalesce(title, ''), ' ', coalesce(abstract, ''))) rlike 'kinase|spindle'")
+    assert sorted(r.row_id for r in df.collect()) == sorted(r.row_id for r in want.collect())
+    assert {r.year for r in df.filter("year = 2020").collect()} <= {2020}
+    assert df.filter("year = 2020").count() == want.filter("year = 2020").count()
+
+
+def test_packages_snapshot_articles_release(spark, tmp_path):
+    from quillmark.session import materialize, release
+
+    t = spark.createDataFrame([("m1_1", "x")], "package_id string, v string")
+    sinks.write_packages({"facts": t, "figures": t}, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p/figures")).count() == 1
+    with pytest.raises(ValueError):
+        sinks.write_packages({"facts": t.drop("package_id")}, str(tmp_path / "q"))
+    sinks.snapshot(str(tmp_path / "p/facts"), str(tmp_path / "copy"), spark)
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 1
+    with pytest.raises(FileExistsError):
+        sinks.snapshot(str(tmp_path / "p/facts"), str(tmp_path / "copy"), spark)
+    (tmp_path / "a.xml").write_text("<article><front><article-meta><title-group><article-title>T</article-title></title-group></article-meta></front></article>")
+    (tmp_path / "b.xml").write_text("<other/>")
+    assert [r.title for r in readers.read_articles(spark, str(tmp_path / "*.xml")).collect()] == ["T"]
+    m = materialize(t)
+    assert m.count() == 1 and release(spark) >= 1
