@@ -61,6 +61,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """df with enough partitions to keep all cores busy in a costly Python stage.
+
+    Only a table of few partitions (a few large files) is redistributed; a large one comes in many splits and stays as it is.
+    """
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables materialize wrote for this application; results not yet written out must not depend on them. Returns their number."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
