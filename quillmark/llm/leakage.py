@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.session import materialize, read_table
+from quillmark.session import materialize, read_table, spread
 
 #: Units of a document's passage and their distance; of an item's passage and their distance.
 PASSAGE, STRIDE, ITEM_PASSAGE, ITEM_STRIDE = 24, 12, 12, 4
@@ -150,7 +150,7 @@ def passages(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             rows = [x for s in pdf["text"] if s for x in _sparse(units(s), vocabulary, PASSAGE, STRIDE) if len(x) >= LEAST]
             yield pd.DataFrame({"terms": pd.Series(rows, dtype=object)})
 
-    return documents.select("text").filter("text is not null and text <> ''").mapInPandas(run, "terms array<int>")
+    return spread(documents.select("text").filter("text is not null and text <> ''")).mapInPandas(run, "terms array<int>")
 
 
 def _weights(rows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,7 +321,7 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
             yield pd.DataFrame([f for f in found if f[-1]], columns=["item_id", "doc_id", "cosine", "run", "item_size", "lcs_share", "answer_share", "kind"])
 
     src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null and text <> ''")
-    return src.mapInPandas(run, schema)
+    return spread(src).mapInPandas(run, schema)
 
 
 def checked(it: Item, doc_id: int, cosine: float, stream: str, starts: set[int], us: list[str], known: set[str]) -> tuple:
