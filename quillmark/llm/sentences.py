@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quillmark.session import read_table, spread
 
-#: EM rounds and the most kinds of contexts the driver estimates from (the most frequent).
-ROUNDS, MAX_KINDS = 3, 400_000
+#: EM rounds.
+ROUNDS = 3
 #: Prior odds, beyond those of any word, that a listed abbreviation ends no sentence.
 PRIOR = 40.0
 
@@ -510,20 +510,26 @@ def decide(text: str, found: list[Gap], model: Model, cache: dict) -> list[tuple
     return trimmed
 
 
-def train(documents: DataFrame, text: str = "text", max_kinds: int = MAX_KINDS) -> Model:
-    """The model, from the counts of all documents. The driver gets the max_kinds most frequent kinds of contexts."""
+def train(documents: DataFrame, text: str = "text") -> Model:
+    """The model, from the counts of all documents and all kinds of contexts, the rare ones too.
+
+    The driver gets every kind. The word before last is left out where the model never asks for it (shown absence of an
+    event, marks whose event depends on no word), which merges kinds without changing a count that is used.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: dict[tuple, int] = {}
             for s in pdf[text]:
                 if s:
                     for g in gaps(s):
-                        k = (*_kind(g), -1 if g.label is None else g.label)
+                        w2, w1, mark, nxt = _kind(g)
+                        w2 = "" if g.label == 0 or mark in _PLAIN or mark in ("NL", "NLw") else w2
+                        k = (w2, w1, mark, nxt, -1 if g.label is None else g.label)
                         seen[k] = seen.get(k, 0) + 1
             yield pd.DataFrame([(*k, c) for k, c in seen.items()], columns=["w2", "w1", "mark", "nxt", "label", "c"]).astype({"label": "int32", "c": "int64"})
 
     kinds = spread(documents.select(text).filter(F.col(text).isNotNull())).mapInPandas(run, "w2 string, w1 string, mark string, nxt string, label int, c bigint")
-    kinds = kinds.groupBy("w2", "w1", "mark", "nxt", "label").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w1", "w2", "mark", "nxt", "label").limit(max_kinds)
+    kinds = kinds.groupBy("w2", "w1", "mark", "nxt", "label").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w1", "w2", "mark", "nxt", "label")
     return Model([(r.w2, r.w1, r.mark, r.nxt, None if r.label < 0 else r.label, float(r.c)) for r in kinds.toPandas().itertuples(index=False)])
 
 

@@ -81,3 +81,14 @@ def test_letters_are_kept(spark, data):
     for r in S.split_sentences(docs).orderBy("doc_id", "start_pos").collect():
         kept[r.doc_id] += text[r.doc_id][r.start_pos:r.end_pos]
     assert all("".join(kept[k].split()) == "".join((v or "").split()) for k, v in text.items())
+
+
+def test_rare_kinds_count(spark, monkeypatch):
+    """The model is estimated from every kind of context, also from more than 400,000 of them."""
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    texts = [(d, "\n\n".join(f"Xu {word(i)}." for i in range(d * 2050, (d + 1) * 2050)), "", 0) for d in range(200)]
+    monkeypatch.setattr(S, "Model", list)
+    kinds = S.train(spark.createDataFrame(texts, DOC))
+    assert len(kinds) == 410_000 and sum(k[-1] for k in kinds) == 410_000
