@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -201,12 +203,11 @@ def gaps(text: str) -> list[Gap]:
     n = len(text)
     spans, opened_at = _enclosed(text)
     starts = [a for a, _ in spans]
+    ends = list(accumulate((b for _, b in spans), max))  # the furthest end of the spans up to each
 
     def inside(at: int) -> bool:
-        from bisect import bisect_right
-
-        k = bisect_right(starts, at)
-        return any(a < at < b for a, b in spans[max(0, k - 8):k])
+        k = bisect_left(starts, at)
+        return k > 0 and at < ends[k - 1]
 
     found: dict[int, Gap] = {}
     paragraphs = {m.start(): m.end() for m in _PARAGRAPH.finditer(text)}

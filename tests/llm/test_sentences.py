@@ -92,3 +92,9 @@ def test_rare_kinds_count(spark, monkeypatch):
     monkeypatch.setattr(S, "Model", list)
     kinds = S.train(spark.createDataFrame(texts, DOC))
     assert len(kinds) == 410_000 and sum(k[-1] for k in kinds) == 410_000
+
+
+def test_many_brackets_inside_a_quotation():
+    text = "“" + "It was seen (A). " * 12 + "It was lost. We went on,” wrote Moreno. Then they left."
+    close = text.index("”")
+    assert [g.end for g in S.gaps(text)] == [text.index("Moreno.") + 7, len(text)] and close < text.index("Moreno.")
