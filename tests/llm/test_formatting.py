@@ -1,6 +1,7 @@
+import itertools
 import random
 
-from quillmark.llm.formatting import citation_key, collapse, duplicate_classes, stripped
+from quillmark.llm.formatting import citation_key, collapse, duplicate_classes, least_rotation, stripped
 
 SCHEMA = "row_id long, citation_text string, title string, copies int"
 
@@ -41,17 +42,25 @@ def test_collapse_counts(spark):
 
 def test_field_order_against_brute_force():
     rnd = random.Random(2)
-    fields = ["Doe J, Roe KL, et al", "A study of B12 cells", "Annals of Cells", "2019;7:15-30"]
-    keys = set()
-    for _ in range(60):
-        order = fields[:]
-        rnd.shuffle(order)
-        sep = rnd.choice([" | ", " / ", "; ", ". ", ", "])
-        keys.add(citation_key(rnd.choice([str.upper, str.lower, str])(sep.join(order)), "A study of B12 cells"))
-    assert len(keys) == 1
+    authors = ["Doe J, Roe KL, et al", "Li J, Wu X", "Garcia Lopez M, Ng A", "van der Berg J; O'Neil-Smith BC", "Xu, Q.; Ba, T.", "World Health Organization", "Ōta Z and 2 others", "A"]
+    for a in authors:
+        for title in ("A study of B12 cells", "Cells", "Ab 2019 1-2"):
+            fields = [a, title, "Annals of Cells", "2019;7:15-30"]
+            keys = {citation_key(rnd.choice([str.upper, str.lower, str])(sep.join(order)), title) for order in itertools.permutations(fields) for sep in (" | ", " / ", "; ", ". ")}
+            assert len(keys) == 1, (a, title, keys)
+    for a, b in itertools.combinations(authors, 2):
+        assert citation_key(f"{a}. T. J. 2019;1:2", "T") != citation_key(f"{b}. T. J. 2019;1:2", "T")
+    assert citation_key("Doe J. Annals. 2019", "") == citation_key("2019 / Annals / Doe J", "") != citation_key("Doe J. Annals. 2018", "")
     assert stripped("Ä-b 1!") == "äb1"
 
 
+def test_least_rotation_against_brute_force():
+    rnd = random.Random(5)
+    for _ in range(300):
+        s = "".join(rnd.choice("ab") for _ in range(rnd.randrange(0, 12)))
+        assert least_rotation(s) == min((s[i:] + s[:i] for i in range(len(s))), default="")
+
+
 def test_hot_class(spark):
     df = spark.range(60_000).selectExpr("id as row_id", f"case when id % 3 = 0 then '{C}' else concat('Doe J. Title ', id) end as citation_text", "'' as title", "0 as copies")
     got = duplicate_classes(df)
