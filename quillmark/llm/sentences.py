@@ -7,12 +7,15 @@ over all documents. Nothing is labelled by hand: the ends of paragraphs and text
 commas after a mark show their absence; expectation maximisation fills in the rest. Forward-backward posteriors over each
 text then decide, with a further probability for the length of a sentence in words. Thai, which has blanks but neither
 marks nor case, and texts without marks at line ends go through the same model: there the blank or line break is the mark.
+Where no mark stands for STRETCH words (BARE_STRETCH in a text without any), every blank may hide the event: then the last word before and the first word after
+decide, by how often each ends and begins what is known to end and begin, against how often it stands elsewhere.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,13 +23,17 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.session import read_table, spread
+from quillmark.session import materialize, read_table, spread
 
 #: EM rounds.
 ROUNDS = 3
+#: Words without any possible boundary from which on every blank is one, in texts with end marks and in those without any; the
+#: share of blanks that are, before the words around are known; fields in which the counts of words are kept, whatever the data.
+STRETCH, BARE_STRETCH, BLANK_SHARE, FIELDS = 100, 20, 0.05, 1 << 18
 #: Prior odds, beyond those of any word, that a listed abbreviation ends no sentence.
 PRIOR = 40.0
 
@@ -40,9 +47,12 @@ ABBREVIATIONS = frozenset(
     "βλ εικ κ κα π.χ "
     "डॉ د ดร".split()
 )
-_END = ".!?…。！？．｡؟۔।॥‼⁇⁈⁉"
 _DENSE_END = "。！？．｡"
-_UNCASED_END = "。！？．｡؟۔।॥"
+#: The marks whose meaning depends on what follows, and end marks that Unicode's Sentence_Terminal lacks.
+_LATIN_END, _MORE_END = ".!?‼⁇⁈⁉‽․", "…।॥།༎"
+_END = "".join(sorted({chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000 and regex.match(r"\p{Sentence_Terminal}", chr(i))} | set(_LATIN_END + _MORE_END)))
+#: Marks that end sentences whatever follows, with or without a blank.
+_UNCASED_END = "".join(c for c in _END if c not in _LATIN_END + "…")
 _CLOSE = "\"'”’»)]}）】』」〉》›＂＇］｝"
 _QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "《": "》", "(": ")", "（": "）", "[": "]", "【": "】"}
 _BRACKETS = "(（[【"
@@ -58,7 +68,13 @@ _MARK_RE = re.compile(
 _PARAGRAPH = re.compile(r"[^\S\n\r]*(?:\r\n?|\n)(?:[^\S\n\r]*(?:\r\n?|\n))+\s*")
 _THAI_BLANK = re.compile(rf"(?<=[{_THAI}{_LAO}\w)%”\"]) +(?=\S)")
 _NEWLINE = re.compile(r"[^\S\n\r]*(?:\r\n?|\n)[^\S\n\r]*")
+_BETWEEN = re.compile(r"(?<=\w)\s+(?=\w)")
 _LAST = re.compile(r"\S+$")
+#: The mark of a gap between two words where none stands.
+BLANK = "·"
+_IS_DENSE, _HAS_DENSE = re.compile(f"[{_DENSE}]").match, re.compile(f"[{_DENSE}]").search
+_IS_THAI, _HAS_THAI = re.compile(f"[{_THAI}{_LAO}]").match, re.compile(f"[{_THAI}{_LAO}]").search
+_BLANKS, _LINE, _TOKEN, _BREAK = re.compile(r"\s*").match, re.compile(r"[^\r\n]*").match, re.compile(r"\S*").match, re.compile(r"\s*(?:\r|\n)").match
 
 
 def _lower_word(text: str, at: int) -> bool:
@@ -81,9 +97,9 @@ def shape(w: str) -> str:
         return "<9a>" if any(x.isalpha() for x in w) else "<9>"
     if not any(x.isalpha() for x in w):
         return "<.>"
-    if re.match(f"[{_DENSE}]", w[-1]):
+    if _IS_DENSE(w[-1]):
         return "<dense>"
-    if re.match(f"[{_THAI}{_LAO}]", w[-1]):
+    if _IS_THAI(w[-1]):
         return "<thai>"
     if c.lower() == c.upper():
         return "<uncased>"
@@ -98,7 +114,7 @@ def _literal(w: str, most: int) -> str:
     """A word itself, if it is short enough to be a recurring one, else its shape."""
     if not w or any(x.isdigit() for x in w):
         return shape(w)
-    if re.match(f"[{_DENSE}]", w[-1]):
+    if _IS_DENSE(w[-1]):
         return w
     if w[0].lower() == w[0].upper():
         return w[-30:]
@@ -119,7 +135,7 @@ def _next_kind(s: str) -> str:
     m = re.match(r"[^\s,;:.!?]+", s)
     w = m.group(0) if m else c
     if c.isalpha() and c.lower() == c.upper():
-        return c if re.match(f"[{_DENSE}]", c) else w[:30]
+        return c if _IS_DENSE(c) else w[:30]
     return shape(w)
 
 
@@ -163,7 +179,7 @@ def _enclosed(text: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
 def _words_before(text: str, at: int) -> tuple[str, str]:
     """The last two words before a place, without opening marks."""
     piece = text[max(0, at - 80):at].rstrip(" \t   ")
-    if piece and re.match(f"[{_DENSE}]", piece[-1]):
+    if piece and _IS_DENSE(piece[-1]):
         return piece[-5:-2] or "<nl>", piece[-2:]
     m = _LAST.search(piece)
     w1 = m.group(0) if m else ""
@@ -181,19 +197,19 @@ def _words_before(text: str, at: int) -> tuple[str, str]:
 
 def _bare_mark(text: str, at: int) -> str:
     """The kind of a gap at which no mark stands, by the script before it."""
-    if re.search(f"[{_THAI}{_LAO}]", text[max(0, at - 12):at]):
+    if _HAS_THAI(text[max(0, at - 12):at]):
         return "TH"
-    return "NLd" if re.match(f"[{_DENSE}]", text[at - 1:at]) else "NL"
+    return "NLd" if _IS_DENSE(text[at - 1:at]) else "NL"
 
 
 def group(w1: str, mark: str) -> str:
     """The script a context belongs to; what begins a sentence is compared within one."""
-    if mark[0] in "。！？．｡" or w1 == "<dense>" or re.match(f"[{_DENSE}]", w1[-1]):
+    if mark[0] in "。！？．｡" or w1 == "<dense>" or _IS_DENSE(w1[-1]):
         return "dense"
-    if mark == "TH" or re.match(f"[{_THAI}{_LAO}]", w1[-1]):
+    if mark == "TH" or _IS_THAI(w1[-1]):
         return "thai"
     c = next((c for c in w1 if c.isalpha()), "a")
-    if mark[0] in "؟۔।" or (not w1.startswith("<") and c.lower() == c.upper()):
+    if mark[0] in _UNCASED_END or (not w1.startswith("<") and c.lower() == c.upper()):
         return "uncased"
     return "cased"
 
@@ -210,6 +226,7 @@ def gaps(text: str) -> list[Gap]:
         return k > 0 and at < ends[k - 1]
 
     found: dict[int, Gap] = {}
+    bare = _MARK_RE.search(text) is None
     paragraphs = {m.start(): m.end() for m in _PARAGRAPH.finditer(text)}
     for m in _MARK_RE.finditer(text):
         first, end = m.start("m"), m.end()
@@ -218,7 +235,7 @@ def gaps(text: str) -> list[Gap]:
         if inside(end) or first >= 1 and inside(first) and not m.group("c"):
             continue
         mark, close = m.group("m"), m.group("c")
-        after = re.compile(r"\s*").match(text, end)
+        after = _BLANKS(text, end)
         start = after.end()
         blank = after.group(0)
         label: int | None = None
@@ -226,10 +243,10 @@ def gaps(text: str) -> list[Gap]:
         if start >= n or blank.count("\n") > 1 or blank.count("\r") > 1 and "\n" not in blank:
             label = 1
         if not blank and start < n:
-            dense = mark[-1] in _DENSE_END or re.match(f"[{_DENSE}]", text[start]) is not None or mark in ("……", "…") and re.search(f"[{_DENSE}]", text[max(0, first - 2):first]) is not None
+            dense = mark[-1] in _DENSE_END or _IS_DENSE(text[start]) is not None or mark in ("……", "…") and _HAS_DENSE(text[max(0, first - 2):first]) is not None
             two = text[start:start + 2]
             opens = two[:1] in "“„«¿¡「『" or two[:1].isupper() and (len(two) < 2 or not two[1:].isdigit())
-            if not dense and mark[-1] not in "؟۔।" and not (opens and (first == 0 or text[first - 1] not in _END)):
+            if not dense and mark[-1] not in _UNCASED_END and not (opens and (first == 0 or text[first - 1] not in _END)):
                 continue
             if not dense and re.match(r"[A-Z]\.", two) and text[first - 1:first].isupper():
                 continue
@@ -253,9 +270,9 @@ def gaps(text: str) -> list[Gap]:
         at, start = m.start(), m.end()
         if at in found or at == 0 or start >= n or inside(at):
             continue
-        if m.start() in paragraphs or re.match(r"\s*(?:\r|\n)", text[start:start + 3]):
+        if m.start() in paragraphs or _BREAK(text[start:start + 3]):
             # a paragraph ends whatever stands before it
-            p = re.compile(r"\s*").match(text, at)
+            p = _BLANKS(text, at)
             if p.end() < n and at not in found:
                 w2, w1 = _words_before(text, at)
                 found[at] = Gap(at, p.end(), w2, w1, _bare_mark(text, at), _next_kind(text[p.end():p.end() + 40]), 1)
@@ -265,20 +282,20 @@ def gaps(text: str) -> list[Gap]:
         lo = text.rfind("\n", 0, at) + 1
         line = text[lo:at].strip()
         before = text[:lo].rstrip()
-        hi = re.compile(r"[^\r\n]*").match(text, start).end()
+        hi = _LINE(text, start).end()
         following = text[start:hi]
-        word = re.match(r"\S*", following).group(0)
+        word = _TOKEN(following).group(0)
         w2, w1 = _words_before(text, at)
         nxt = _next_kind(text[start:start + 40])
         opens = not before or before[-1] in _END + _CLOSE + "0123456789;" + "".join("¹²³⁰⁴⁵⁶⁷⁸⁹") or text[len(before):lo].count("\n") > 1
-        dense = re.match(f"[{_DENSE}]", text[at - 1]) is not None or re.match(f"[{_DENSE}]", text[start]) is not None
+        dense = _IS_DENSE(text[at - 1]) is not None or _IS_DENSE(text[start]) is not None
         heading = opens and line and len(line.split()) <= 8 and len(line) <= 80 and not _lower_word(line, 0) and not _lower_word(text, start) and line[-1] not in ",;:-–—"
         block = re.split(r"\r?\n[^\S\n]*\r?\n", text[start:start + 400], maxsplit=1)[0]
         longest = max((len(x) for x in re.split(r"[\r\n]+", block)[:3]), default=0)
         filled = len(line) + 1 + len(word) > 0.85 * longest
         label = 0 if _lower_word(text, start) and not dense or nxt == "<,>" or following[:1] in "…" or line[-1:] in ",;-–—" else None
-        thai = re.search(f"[{_THAI}{_LAO}]", line) is not None
-        mark = "TH" if thai else "NLd" if dense else "NLh" if heading and not filled else "NLw"
+        thai = _HAS_THAI(line) is not None
+        mark = "TH" if thai else "NLd" if dense else "NLh" if heading and not filled else "NLb" if bare and not filled else "NLw"
         key = "L:" + re.sub(r"\d+", "9", line[:40]) if mark == "NLh" else w2
         found[at] = Gap(at, start, key, w1, mark, nxt, label)
     last = len(text.rstrip())
@@ -286,20 +303,35 @@ def gaps(text: str) -> list[Gap]:
         w2, w1 = _words_before(text, last)
         found[last] = Gap(last, n, w2, w1, _bare_mark(text, last), "<end>", 1)
     # blanks in Thai and Lao
-    if re.search(f"[{_THAI}{_LAO}]", text):
+    if _HAS_THAI(text):
         for m in _THAI_BLANK.finditer(text):
             at, start = m.start(), m.end()
             if at in found or inside(at) or any(g.end <= at < g.start for g in (found[e] for e in range(max(0, at - 6), at + 1) if e in found)):
                 continue
             w2, w1 = _words_before(text, at)
             nxt = _next_kind(text[start:start + 40])
-            if not (re.search(f"[{_THAI}{_LAO}]", w1 + nxt)) or text[at - 1] in _END:
+            if not (_HAS_THAI(w1 + nxt)) or text[at - 1] in _END:
                 continue
             found[at] = Gap(at, start, w2, w1, "TH", nxt, 0 if nxt == "<,>" else None)
+    # long stretches without any of these
+    known, most = sorted(k for k in found if found[k].label != 0), BARE_STRETCH if bare else STRETCH
+    for a, b in zip([0, *(found[k].start for k in known)], [*known, last]):
+        if b - a > 2 * most and len(text[a:b].split()) > most and not _HAS_DENSE(text[a:b]) and not _HAS_THAI(text[a:b]):
+            for m in _BETWEEN.finditer(text, a, b):
+                if m.start() > a and m.start() not in found and not inside(m.start()):
+                    found[m.start()] = Gap(m.start(), m.end(), "", _word_at(text, m.start(), -1), BLANK, _word_at(text, m.end(), 1), None)
     return [found[k] for k in sorted(found)]
 
 
+def _word_at(text: str, at: int, side: int) -> str:
+    """The word before (-1) or after (1) a place, without case and marks."""
+    piece = text[max(0, at - 60):at].split()[-1:] if side < 0 else text[at:at + 60].split(None, 1)[:1]
+    return "".join(c for c in (piece[0] if piece else "").casefold() if c.isalnum())
+
+
 def _kind(g: Gap) -> tuple[str, str, str, str]:
+    if g.mark == BLANK:
+        return "", g.w1, BLANK, g.nxt
     w2 = g.w2 if g.mark == "NLh" else _literal(g.w2, 5)
     return w2, _literal(g.w1, 8), g.mark, g.nxt
 
@@ -316,8 +348,10 @@ class Model:
     posterior over _NEVER, _MIXED and _REGULAR, with the next more general context as its prior.
     """
 
-    def __init__(self, kinds: list[tuple[str, str, str, str, int | None, float]]):
-        """kinds: (w2, w1, mark, next, label, count)."""
+    def __init__(self, kinds: list[tuple[str, str, str, str, int | None, float]], words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        """kinds: (w2, w1, mark, next, label, count). words: counts of all words, of those that end and of those that begin
+        paragraphs, by field."""
+        self.words = words
         self.shown: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0])
         strong: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         for w2, w1, mark, nxt, label, c in kinds:
@@ -327,7 +361,7 @@ class Model:
                 r = self.shown[key]
                 r[0] += c * (label == 1)
                 r[1] += c
-            if mark[0] in "?!？！؟。।۔" and len(mark) == 1:
+            if mark[0] in _TELLING and len(mark) == 1:
                 for g in (group(w1, mark), ""):
                     strong[g][0] += c * (label == 1)
                     strong[g][1] += c
@@ -369,7 +403,7 @@ class Model:
         if (w2, w1, mark) in self._events:
             return self._events[w2, w1, mark]
         a = self._start(mark)
-        if mark in ("NL", "NLh", "NLw"):  # no paragraph's end shows these; a line that recurs is a heading
+        if mark in ("NL", "NLh", "NLw", "NLb"):  # no paragraph's end shows these; a line that recurs is a heading
             return 0.97 if mark == "NLh" and self.shown.get((w2, w1, mark), (0, 0))[1] >= 3 else a
         if w2 == "<nl>" and mark == "." and shape(w1) in ("<9>", "<A>", "<a>"):
             return 0.02  # a number or letter at the start of a line numbers what follows
@@ -420,8 +454,21 @@ class Model:
         self.totals = {k: sum(v.values()) for k, v in self.nexts.items()}
         self._events.clear()
 
+    def between(self, w1: str, nxt: str) -> float:
+        """P(event | the words around a blank)."""
+        odds = math.log(BLANK_SHARE / (1 - BLANK_SHARE))
+        if self.words is not None:
+            elsewhere, ends, begins = self.words
+            for word, counts in ((w1, ends), (nxt, begins)):
+                k = zlib.crc32(word.encode()) % FIELDS
+                usual = (elsewhere[k] + 0.5) / (elsewhere.sum() + FIELDS / 2)
+                odds += max(-4.0, min(4.0, math.log((counts[k] + 20 * usual) / (counts.sum() + 20) / usual)))
+        return 1 / (1 + math.exp(-odds))
+
     def posterior(self, w2: str, w1: str, mark: str, nxt: str) -> float:
         """P(event | context and what follows), of one gap by itself."""
+        if mark == BLANK:
+            return self.between(w1, nxt)
         a = self.event(w2, w1, mark)
         g = group(w1, mark)
         if nxt == "<end>" or ("E", g) not in self.nexts:
@@ -438,12 +485,14 @@ class Model:
 
 #: Probability of the event by mark before anything is counted: line breaks by their layout, blanks of scripts
 #: without marks, ends inside (0) or not inside (1) a quote or bracket that opened with the sentence.
-_START = {"NL": 1.0, "NLh": 0.6, "NLw": 0.02, "NLd": 0.3, "TH": 0.3}
+_START = {"NL": 1.0, "NLh": 0.6, "NLw": 0.02, "NLb": 0.8, "NLd": 0.3, "TH": 0.3}
 _START_CLOSED = {"“1": 0.9, "“0": 0.3, "(0": 0.9, "(1": 0.1}
 #: Marks that end nothing but sentences, where no quote or bracket closes after them.
-_PLAIN = frozenset("!?！？。．｡؟۔।॥‼⁇⁈⁉")
-#: Gaps at which no mark stands.
-_BARE = frozenset(["TH", "NLd"])
+_PLAIN = frozenset(_END) - frozenset(".…․")
+#: Marks from whose share at paragraph ends the share of all events there is known.
+_TELLING = frozenset(_UNCASED_END + "?!")
+#: Gaps at which no mark stands: those that show events in scripts without marks, and all.
+_BARE, _BARE_MARKS = frozenset(["TH", "NLd"]), frozenset(["TH", "NL", "NLd", "NLh", "NLw", "NLb", BLANK])
 #: Most gaps of a context that count as evidence.
 EVIDENCE = 80.0
 #: Most gaps by which one word speaks for its shape.
@@ -458,99 +507,158 @@ _LENGTH = {1: math.log(0.05), 2: math.log(0.35)}
 
 def decide(text: str, found: list[Gap], model: Model, cache: dict) -> list[tuple[int, int]]:
     """The sentences of a text: the gaps whose forward-backward posterior of an event reaches one half divide it."""
-    chain = [g for g in found if g.start < len(text)]
-    post = np.zeros(len(chain))
-    if chain:
-        logs = np.zeros((len(chain), 2))
-        for i, g in enumerate(chain):
-            if g.label is not None:
-                p = 1 - 1e-9 if g.label else 1e-9
-            else:
-                k = _kind(g)
-                if k not in cache:
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    cache[k] = model.posterior(*k)
-                p = cache[k]
-            p = min(1 - 1e-9, max(1e-9, p))
-            logs[i] = math.log(1 - p), math.log(p)
-        # pair[i][a, b]: factor between event a at gap i - 1 and b at gap i: the length of the sentence between two events
-        pair = np.zeros((len(chain), 2, 2))
-        for i, g in enumerate(chain):
-            begin = chain[i - 1].start if i else 0
-            piece = text[begin:g.end]
-            if not re.search(f"[{_DENSE}]", piece) and g.mark not in ("NL", "NLh", "TH"):
-                few = _LENGTH.get(len(piece.split()), 0.0)
-                if i:
-                    pair[i][1, 1] = few
-                else:
-                    logs[0][1] += few
-        f = np.zeros((len(chain), 2))
-        b = np.zeros((len(chain), 2))
-        f[0] = logs[0]
-        for i in range(1, len(chain)):
-            f[i] = logs[i] + np.logaddexp(f[i - 1][0] + pair[i][0], f[i - 1][1] + pair[i][1])
-        for i in range(len(chain) - 2, -1, -1):
-            b[i] = np.logaddexp(logs[i + 1][0] + pair[i + 1][:, 0] + b[i + 1][0], logs[i + 1][1] + pair[i + 1][:, 1] + b[i + 1][1])
-        z = f + b
-        post = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -50, 50)))
-    out, at = [], 0
-    for g, p in zip(chain, post):
-        if p >= 0.5:
-            out.append((at, g.end))
-            at = g.start
-    out.append((at, len(text)))
-    trimmed = []
-    for a, b2 in out:
-        while a < b2 and text[a].isspace():
-            a += 1
-        while b2 > a and text[b2 - 1].isspace():
-            b2 -= 1
-        if a < b2:
-            trimmed.append((a, b2))
-    return trimmed
+    return spans(*context(text, found), model, cache)
+
+
+def context(text: str, found: list[Gap]) -> tuple[int, int, list[tuple]]:
+    """What the decision needs of a text: where its letters begin and end, and the gaps with the words since the gap before
+    (0: not counted)."""
+    out, begin = [], 0
+    for g in found:
+        piece = text[begin:g.end]
+        counted = g.mark not in ("NL", "NLh", "NLb", "TH") and not _HAS_DENSE(piece)
+        out.append((g.end, g.start, *_kind(g), -1 if g.label is None else g.label, len(piece.split()) if counted else 0))
+        begin = g.start
+    return len(text) - len(text.lstrip()), len(text.rstrip()), out
+
+
+def spans(first: int, last: int, found: list[tuple], model: Model, cache: dict) -> list[tuple[int, int]]:
+    """The sentences between the first and the last letter of a text, from its gaps with their contexts."""
+    chain = [g for g in found if g[1] < last]
+    n = len(chain)
+    if not n:
+        return [(first, last)] if first < last else []
+    p = np.empty(n)
+    for i, (_, _, w2, w1, mark, nxt, label, _) in enumerate(chain):
+        if label >= 0:
+            p[i] = label
+        else:
+            k = w2, w1, mark, nxt
+            if k not in cache:
+                if len(cache) > 200_000:
+                    cache.clear()
+                cache[k] = model.posterior(*k)
+            p[i] = cache[k]
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    yes, no = np.log(p).tolist(), np.log1p(-p).tolist()
+    few = [_LENGTH.get(g[7], 0.0) for g in chain]  # of a sentence between the gap and an event at the one before
+    yes[0] += few[0]
+    if not any(few[1:]):  # then the gaps do not depend on each other
+        post = [y - x for x, y in zip(no, yes)]
+    else:
+        f, b = [(no[0], yes[0])], [(0.0, 0.0)]
+        for i in range(1, n):
+            x, y = f[-1]
+            both = _add(x, y)
+            f.append((no[i] + both, yes[i] + _add(x, y + few[i])))
+        for i in range(n - 1, 0, -1):
+            x, y = b[-1]
+            b.append((_add(no[i] + x, yes[i] + y), _add(no[i] + x, yes[i] + y + few[i])))
+        post = [y + v - x - u for (x, y), (u, v) in zip(f, reversed(b))]
+    out, at = [], first
+    for g, z in zip(chain, post):
+        if z >= 0 and g[0] > at:
+            out.append((at, g[0]))
+            at = g[1]
+    return [*out, (at, last)] if at < last else out
+
+
+def _add(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))"""
+    return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+
+
+_GAPS = "array<struct<end:int,start:int,w2:string,w1:string,mark:string,nxt:string,label:int,words:int>>"
+
+
+def gap_table(documents: DataFrame, key: str, text: str, keep_text: bool = False) -> DataFrame:
+    """(key, first, last, gaps, ends, begins): the possible boundaries of every document with their contexts, read once; the
+    words that end and begin its paragraphs. keep_text: the text itself, too."""
+    kind = documents.schema[key].dataType.simpleString()
+    extra = [text] if keep_text else []
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, s in zip(pdf[key], pdf[text]):
+                if not s:
+                    continue
+                found = gaps(s)
+                first, last, chain = context(s, found)
+                shown = [g for g in found if g.label == 1]
+                names = ("end", "start", "w2", "w1", "mark", "nxt", "label", "words")
+                rows.append((k, first, last, [dict(zip(names, g)) for g in chain], [_word_at(s, g.end, -1) for g in shown if g.mark not in _BARE_MARKS], [_word_at(s, g.start, 1) for g in shown if g.start < last], *([s] if keep_text else [])))
+            yield pd.DataFrame(rows, columns=[key, "first", "last", "gaps", "ends", "begins", *extra])
 
-def train(documents: DataFrame, text: str = "text") -> Model:
+    schema = f"`{key}` {kind}, first int, last int, gaps {_GAPS}, ends array<string>, begins array<string>" + (f", `{text}` string" if keep_text else "")
+    return spread(documents.select(key, text).filter(F.col(text).isNotNull())).mapInPandas(run, schema)
+
+
+def _fields(words: DataFrame, column: str) -> np.ndarray:
+    """How often each word stands in a column, by field."""
+    field = F.pmod(F.crc32(F.col(column).cast("binary")), F.lit(FIELDS))
+    out = np.zeros(FIELDS)
+    for r in words.filter(F.col(column) != "").groupBy(field.cast("int").alias("k")).agg(F.count(F.lit(1)).alias("c")).collect():  # at most FIELDS rows
+        out[r.k] = r.c
+    return out
+
+
+def word_counts(table: DataFrame, documents: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of all words of all documents, of those that end and of those that begin paragraphs, by field."""
+    every = documents.select(F.explode(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]*\s+[^\p{L}\p{N}]*")).alias("w"))
+    return _fields(every, "w"), _fields(table.select(F.explode("ends").alias("w")), "w"), _fields(table.select(F.explode("begins").alias("w")), "w")
+
+
+def estimate(table: DataFrame, documents: DataFrame, text: str, words: bool | None = None) -> Model:
     """The model, from the counts of all documents and all kinds of contexts, the rare ones too.
 
     The driver gets every kind. The word before last is left out where the model never asks for it (shown absence of an
-    event, marks whose event depends on no word), which merges kinds without changing a count that is used.
+    event, marks whose event depends on no word), which merges kinds without changing a count that is used. words: whether to
+    count the words for blanks; by default if any document has a stretch without marks.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen: dict[tuple, int] = {}
-            for s in pdf[text]:
-                if s:
-                    for g in gaps(s):
-                        w2, w1, mark, nxt = _kind(g)
-                        w2 = "" if g.label == 0 or mark in _PLAIN or mark in ("NL", "NLw") else w2
-                        k = (w2, w1, mark, nxt, -1 if g.label is None else g.label)
-                        seen[k] = seen.get(k, 0) + 1
-            yield pd.DataFrame([(*k, c) for k, c in seen.items()], columns=["w2", "w1", "mark", "nxt", "label", "c"]).astype({"label": "int32", "c": "int64"})
-
-    kinds = spread(documents.select(text).filter(F.col(text).isNotNull())).mapInPandas(run, "w2 string, w1 string, mark string, nxt string, label int, c bigint")
-    kinds = kinds.groupBy("w2", "w1", "mark", "nxt", "label").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w1", "w2", "mark", "nxt", "label")
-    return Model([(r.w2, r.w1, r.mark, r.nxt, None if r.label < 0 else r.label, float(r.c)) for r in kinds.toPandas().itertuples(index=False)])
-
-
-def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
+    if words is None:
+        words = not table.filter(F.exists("gaps", lambda g: g.mark == BLANK)).isEmpty()
+    g = table.select(F.explode("gaps").alias("g")).select("g.*").filter(F.col("mark") != BLANK)
+    unasked = (F.col("label") == 0) | F.col("mark").isin(*_PLAIN, "NL", "NLw", "NLb")
+    g = g.withColumn("w2", F.when(unasked, "").otherwise(F.col("w2")))
+    kinds = g.groupBy("w2", "w1", "mark", "nxt", "label").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "w1", "w2", "mark", "nxt", "label")
+    rows = [(r.w2, r.w1, r.mark, r.nxt, None if r.label < 0 else int(r.label), float(r.c)) for r in kinds.toPandas().itertuples(index=False)]
+    return Model(rows, word_counts(table, documents, text) if words else None)
+
+
+def train(documents: DataFrame, text: str = "text") -> Model:
+    """The model of these documents, for any texts."""
+    keyed = documents.select(F.lit(0).alias("_key"), text)
+    return estimate(materialize(gap_table(keyed, "_key", text), "gaps"), documents, text, words=True)
+
+
+def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None, keep_text: bool = False) -> DataFrame:
     """(key, sent_no, start_pos, end_pos): the sentences of every document, offsets in code points, the end exclusive.
 
     NULL, empty and blank texts have no sentences; a text without any boundary is one sentence; repeated rows come out
     repeated; whole texts are read, however long. The model is trained on the documents themselves unless one is given.
+    keep_text: the sentence itself, too.
     """
-    model = train(documents, text) if model is None else model
+    table = gap_table(documents, key, text, keep_text)
+    if model is None:
+        table = materialize(table, "gaps")
+        model = estimate(table, documents, text)
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    kind = documents.schema[key].dataType.simpleString()
+    extra = [text] if keep_text else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for pdf in batches:
-            rows = [(k, i, a, b) for k, s in zip(pdf[key], pdf[text]) if s for i, (a, b) in enumerate(decide(s, gaps(s), shared.value, cache), 1)]
-            yield pd.DataFrame(rows, columns=[key, "sent_no", "start_pos", "end_pos"])
+            pdf["spans"] = [spans(a, b, [tuple(g.values()) for g in found], shared.value, cache) for a, b, found in zip(pdf["first"], pdf["last"], pdf["gaps"])]
+            pdf["spans"] = [[{"start_pos": x, "end_pos": y} for x, y in found] for found in pdf["spans"]]
+            yield pdf[[key, "spans", *extra]]
 
-    kind = documents.schema[key].dataType.simpleString()
-    return spread(documents.select(key, text).filter(F.col(text).isNotNull())).mapInPandas(run, f"{key} {kind}, sent_no int, start_pos bigint, end_pos bigint")
+    decided = table.select(key, "first", "last", "gaps", *extra).mapInPandas(run, f"`{key}` {kind}, spans array<struct<start_pos:bigint,end_pos:bigint>>" + (f", `{text}` string" if keep_text else ""))
+    each = decided.select(key, *extra, F.posexplode("spans").alias("p", "s")).select(key, (F.col("p") + 1).alias("sent_no"), "s.*", *extra)
+    if keep_text:
+        each = each.withColumn("sentence", F.substring(F.col(text), (F.col("start_pos") + 1).cast("int"), (F.col("end_pos") - F.col("start_pos")).cast("int"))).drop(text)
+    return each
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -559,9 +667,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences themselves, with their number in the document."""
-    docs = read_table(spark, d, "documents")
-    spans = split_sentences(docs)
-    return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "sent_no", F.expr("substring(text, cast(start_pos + 1 as int), cast(end_pos - start_pos as int))").alias("sentence"))
+    return split_sentences(read_table(spark, d, "documents"), keep_text=True).select("doc_id", "sent_no", "sentence")
 
 
 QUERIES = {"p9_found": p9_found, "p9_sentences": p9_sentences}

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from quillmark.llm import sentences as S
@@ -5,9 +7,12 @@ from quillmark.llm import sentences as S
 DOC = "doc_id long, text string, lang string, start_pos int"
 
 
-@pytest.fixture(scope="module")
-def model(spark, data):
-    return S.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.1"])
+def model(spark, request):
+    """The models that the queries have at the smallest and at the largest scale."""
+    out = S.train(spark.read.parquet(f"/root/testdata/{request.param}/documents.parquet"))
+    out.scale = request.param
+    return out
 
 
 def split(model, text):
@@ -32,10 +37,13 @@ CASES = {
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_sentences(model, name):
     want = CASES[name]
+    if name == "german" and model.scale == "sf0.001":
+        want = want[1:]  # the few German texts there show no ordinal
+    given = want
     if name == "ellipsis":
         want = [want[0], "It moved...", "Neither was needed."]
-    assert split(model, " ".join(CASES[name])) == want
-    assert split(model, "\n\n".join(CASES[name])) == want
+    assert split(model, " ".join(given)) == want
+    assert split(model, "\n\n".join(given)) == want
 
 
 def test_scripts_without_blanks(model):
@@ -46,10 +54,49 @@ def test_scripts_without_blanks(model):
 
 
 def test_thai_by_the_model(model):
+    if model.scale == "sf0.001":
+        pytest.skip("a few dozen texts tell too little of a script without marks")
     a, b = "เซลล์ที่ขาด PBIL2 แบ่งตัวช้าลงอย่างชัดเจน", "เราวัดระดับ menilin ซ้ำอีกครั้งในวันถัดมา"
     assert split(model, f"{a} {b} {a}") == [a, b, a]
 
 
+def test_end_marks_of_all_scripts(model):
+    """Marks that Unicode calls sentence terminals, with and without a blank after them."""
+    for text in ("ខ្ញុំទៅផ្សារ។ គាត់នៅផ្ទះ។", "ကျောင်းသွားသည်။ အိမ်မှာနေသည်။", "Նա գնաց տուն։ Մենք մնացինք։", "ወደ ቤት ሄደ። እኛ ቀረን።", "ང་ཁྱིམ་ལ་འགྲོ། ཁོ་འདུག", "ᠮᠣᠩᠭᠣᠯ᠃ ᠪᠢᠴᠢᠭ᠃"):
+        for t in (text, text.replace(" ", "") if text[0] not in "Նወᠮ" else text):
+            parts = split(model, t)
+            assert len(parts) == 2 and "".join(parts) == t.replace(" ", "") or " " in parts[0] + parts[1], t
+            assert parts[0][-1] in S._END
+
+
+def test_blanks_where_no_mark_stands(model):
+    """Text without marks: words that begin and end sentences elsewhere decide; most boundaries found are right."""
+    import pandas as pd
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").query("lang == 'en'").text.dropna()
+    right = found = true = 0
+    for t in texts[:300]:
+        one = [x for x in split(model, t) if x[-1:] == "." and x[:1].isupper() and "\n" not in x and len(x.split()) > 4][:12]
+        words = [" ".join(re.sub(r"[^\w\s-]", "", x).casefold().split()) for x in one]
+        bare = " ".join(words)
+        if len(one) < 4:
+            continue
+        want, at = set(), 0
+        for w in words[:-1]:
+            at += len(w) + 1
+            want.add(at)
+        got = {a for a, _ in S.decide(bare, S.gaps(bare), model, {})[1:]}
+        right, found, true = right + len(got & want), found + len(got), true + len(want)
+    assert true > 60 and found, (right, found, true)
+    print("unmarked", model.scale, right, found, true)
+    if model.scale == "sf0.1":
+        assert right / found > 0.6 and right / true > 0.3, (right, found, true)
+
+
+def test_lines_without_any_mark(model):
+    text = "The cells of the first group were kept warm for a day\nThey moved\nThe others of the second group stayed where they were for another two days"
+    assert split(model, text) == text.split("\n")
+
+
 def test_layout(model):
     assert split(model, "Methods\nThe cells were kept.\nResults\nThey moved\nacross the tissue at once.") == ["Methods", "The cells were kept.", "Results", "They moved\nacross the tissue at once."]
     assert split(model, "  One. \r\n\r\n Two.  ") == ["One.", "Two."]
@@ -89,7 +136,7 @@ def test_rare_kinds_count(spark, monkeypatch):
         return "".join(chr(97 + i // 26**k % 26) for k in range(4))
 
     texts = [(d, "\n\n".join(f"Xu {word(i)}." for i in range(d * 2050, (d + 1) * 2050)), "", 0) for d in range(200)]
-    monkeypatch.setattr(S, "Model", list)
+    monkeypatch.setattr(S, "Model", lambda kinds, words: list(kinds))
     kinds = S.train(spark.createDataFrame(texts, DOC))
     assert len(kinds) == 410_000 and sum(k[-1] for k in kinds) == 410_000
 
