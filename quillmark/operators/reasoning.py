@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.text import contains_anchor, json_block
 from quillmark.operators.skew import skew_join
 from quillmark.operators.validate import both_ways, duplicates, violations
 
@@ -42,6 +43,78 @@ def not_among(df: DataFrame, scope: str, ids: str, known: DataFrame, key: str, o
     return bad.select(scope, F.lit(rule).alias("rule"), F.concat_ws(":", F.col(owner).cast("string"), key).alias("detail"))
 
 
+def fact_rules(facts: DataFrame, introductions: DataFrame, known: DataFrame) -> DataFrame:
+    """(scope, rule, detail): facts (scope is fact and its key) whose anchor is blank or does not stand in the introduction, without nearby ids,
+    with unknown ones or with other than one claim; papers (scope is paper and its key) with other than two to six facts (VA2).
+
+    facts: (fact_key, paper, anchor_text, ids, atomic_claim_count); introductions: (paper, introduction), one row per paper;
+    known: (paper, ref).
+    """
+    with_text = skew_join(facts.select("fact_key", "paper", "anchor_text"), introductions, ["paper"], "left", "fact_key")
+    anchored = F.coalesce(contains_anchor(F.col("introduction"), F.col("anchor_text")), F.lit(False))
+    own = violations(facts, ["fact_key"], [("claims", F.coalesce("atomic_claim_count", F.lit(0)) != 1, F.col("atomic_claim_count")), ("no_reference", F.size("ids") == 0, F.lit(""))])
+    bare = violations(with_text, ["fact_key"], [("anchor", ~anchored, F.col("anchor_text"))])
+    edges = facts.select("fact_key", "paper", F.explode("ids").alias("ref"))
+    missing = skew_join(edges, known, ["paper", "ref"], "left_anti", "fact_key").select("fact_key", F.lit("unknown_reference").alias("rule"), F.col("ref").alias("detail"))
+    per_fact = _all(own, bare, missing).select(F.concat(F.lit("fact "), F.col("fact_key").cast("string")).alias("scope"), "rule", "detail")
+    counts = size_outside(facts, facts, "paper", "fact_count").select(F.concat(F.lit("paper "), "paper").alias("scope"), "rule", "detail")
+    return per_fact.unionByName(counts)
+
+
+def included_figures(decisions: DataFrame) -> DataFrame:
+    """Decisions to include a figure that hold: experimental data, real and relevant."""
+    return decisions.filter("decision = 'INCLUDE' and classification = 'EXPERIMENTAL_DATA' and real_data is true and relevant is true")
+
+
+def figure_rules(figures: DataFrame, decisions: DataFrame, scope: str, uid: str = "figure_uid") -> DataFrame:
+    """(scope, rule, detail): figures without a decision, decisions without a figure, repeated ones and unsafe inclusions (VA5)."""
+    sides = both_ways(figures, decisions, [scope, uid]).select(scope, F.when(F.col("side") == "missing", "figure_extra").otherwise("figure_missing").alias("rule"), F.col(uid).alias("detail"))
+    fit = (F.col("classification") == "EXPERIMENTAL_DATA") & F.col("real_data") & F.col("relevant")
+    unsafe = violations(decisions, [scope], [("unsafe_inclusion", (F.col("decision") == "INCLUDE") & ~F.coalesce(fit, F.lit(False)), F.col(uid))])
+    return _all(sides, _rows(duplicates(decisions, [scope], F.col(uid), "figure_repeated"), scope), _rows(unsafe, scope))
+
+
+#: The parts of a review and its outcomes.
+DIMENSIONS = ("research_question", "original_experimental_research", "novel_biological_finding", "experimental_evidence")
+
+
+def _decoded_review(raw: str) -> tuple[Column, Column]:
+    """The review of a model's answer as a variant, and its outcome by the results of its parts."""
+    v = F.try_parse_json(json_block(F.col(raw)))
+    results = [F.try_variant_get(v, f"$.{d}.result", "string") for d in DIMENSIONS]
+    return v, F.when(reduce(lambda a, b: a & b, [F.coalesce(x == "PASS", F.lit(False)) for x in results]), "INCLUDE").otherwise("EXCLUDE")
+
+
+def review_rules(reviews: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, rule, detail): answers that hold no object, parts that are missing or no object, results other than PASS and FAIL,
+    reasons that are no text or blank, and outcomes that do not follow from the results (only where the parts are sound) (VA1, SC22)."""
+    v, expected = _decoded_review(raw)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    rules: list[tuple[str, Column, Column]] = []
+    for d in DIMENSIONS:
+        result, reason = (F.try_variant_get(v, f"$.{d}.{x}", "string") for x in ("result", "reason"))
+        is_object = kind(f"$.{d}").startswith("OBJECT")
+        rules += [
+            ("part_missing", ~is_object, F.lit(d)), ("result", is_object & ~F.coalesce(result.isin("PASS", "FAIL"), F.lit(False)), F.lit(d)),
+            ("reason", is_object & ((kind(f"$.{d}.reason") != "STRING") | _blank(reason)), F.lit(d)),
+        ]
+    known = reviews.withColumn("_object", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+    broken = known.filter(~F.col("_object")).select(key, F.lit("no_object").alias("rule"), F.lit("").alias("detail"))
+    parts = _rows(violations(known.filter("_object"), [key], rules), key)
+    final = F.try_variant_get(v, "$.final_decision", "string")
+    wrong = reduce(lambda a, b: a | b, [c for _, c, _ in rules])
+    outcome = violations(known.filter(F.col("_object") & ~wrong), [key], [("final_decision", ~final.eqNullSafe(expected), final)])
+    return _all(broken, parts, _rows(outcome, key))
+
+
+def review_outcomes(reviews: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, <part>_result, <part>_reason, final_decision) of the reviews that break no rule, reasons trimmed (PRJ13)."""
+    v, expected = _decoded_review(raw)
+    bad = review_rules(reviews, key, raw).select(key).distinct()
+    fields = [c for d in DIMENSIONS for c in (F.try_variant_get(v, f"$.{d}.result", "string").alias(f"{d}_result"), F.btrim(F.try_variant_get(v, f"$.{d}.reason", "string")).alias(f"{d}_reason"))]
+    return reviews.join(bad, key, "left_anti").select(key, *fields, expected.alias("final_decision"))
+
+
 def subset_violations(assessed: DataFrame, expected: DataFrame, scope: str = "paper") -> DataFrame:
     """Subset assessments against the enumerated subsets: ids equal as sets and unique, the same ordered facts, sufficient
     exactly if all three conditions are true (NULL is not true) (VA3, JN11)."""

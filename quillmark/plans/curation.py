@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as tx
 from quillmark.functions.ids import paper_key
 from quillmark.operators import cascade, identity, ordinal, scoring
-from quillmark.operators.allocation import topic_sample
+from quillmark.operators.allocation import topic_sample, topic_weights
 from quillmark.plans.fixtures import EXCLUDED_TYPES, LATEST_SQL, LEXICON, MIN_ABSTRACT, MIN_FULL_TEXT, TITLE_PATTERN, WITHDRAWN_PATTERN, latest_papers, paper_sql
 from quillmark.session import read_table
 from quillmark.sources import search
@@ -242,12 +242,52 @@ def sample_candidates(spark, d):
     return p.select("year", F.explode(F.array_distinct(F.filter("source_categories", lambda x: x != ""))).alias("category")).groupBy("year", "category").agg(F.count(F.lit(1)).alias("candidates"))
 
 
-@query()
-def topic_coverage_sample(spark, d):
-    """Greedy topic-coverage sample of up to 40 papers a year, each under one of its categories (SL1, SL4)."""
+_TOPICS = f"""WITH RECURSIVE {LATEST_SQL},
+c AS (SELECT "year" AS y, unnest(list_distinct(list_filter(source_categories, lambda x: x <> ''))) AS cat, paper, row_id AS pos FROM latest WHERE "year" BETWEEN 2014 AND 2024),
+one AS (SELECT y, cat, paper, min(pos) AS pos FROM c GROUP BY ALL),
+lab AS (SELECT y, paper, 1099511627776 // count(*) AS w FROM one GROUP BY ALL),
+pop AS (SELECT y, cat, count(*) AS h FROM (SELECT "year" AS y, unnest(list_distinct(list_filter(source_categories, lambda x: x <> ''))) AS cat FROM paper) GROUP BY ALL),
+lanes AS (SELECT y, cat, list(paper ORDER BY pos, paper) AS ids, count(*) AS n, CAST(sum(w) AS DOUBLE) / 1099511627776 AS fw FROM one JOIN lab USING (y, paper) GROUP BY ALL),
+w AS (SELECT y, cat, ids, n, h, h * (fw / n) AS weight, row_number() OVER (PARTITION BY y ORDER BY cat) AS ord FROM lanes JOIN pop USING (y, cat)),
+cover AS (SELECT DISTINCT y, 0 AS step, CAST([] AS VARCHAR[]) AS tp, CAST([] AS VARCHAR[]) AS tc FROM w
+  UNION ALL SELECT y, step + 1, list_append(tp, nxt), list_append(tc, cat) FROM (
+    SELECT *, row_number() OVER (PARTITION BY y ORDER BY n, ord) AS rn FROM (
+      SELECT s.*, w.cat, w.n, w.ord, list_filter(w.ids, lambda x: NOT list_contains(s.tp, x))[1] AS nxt, len(list_filter(s.tc, lambda x: x = w.cat)) AS held FROM cover s JOIN w ON s.y = w.y WHERE s.step < 40)
+    WHERE held < 2 AND nxt IS NOT NULL) WHERE rn = 1),
+covered AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY step DESC) AS rn FROM cover) WHERE rn = 1),
+goal AS (SELECT w.*, len(list_filter(c.tc, lambda x: x = w.cat)) + (40 - c.step) * w.weight / sum(w.weight) OVER (PARTITION BY w.y) AS target FROM w JOIN covered c ON c.y = w.y),
+fill AS (SELECT y, step, tp, tc FROM covered
+  UNION ALL SELECT y, step + 1, list_append(tp, nxt), list_append(tc, cat) FROM (
+    SELECT *, row_number() OVER (PARTITION BY y ORDER BY target - held DESC, weight / (held + 1) DESC, ord) AS rn FROM (
+      SELECT s.*, g.cat, g.target, g.weight, g.ord, list_filter(g.ids, lambda x: NOT list_contains(s.tp, x))[1] AS nxt, len(list_filter(s.tc, lambda x: x = g.cat)) AS held FROM fill s JOIN goal g ON s.y = g.y WHERE s.step < 40)
+    WHERE nxt IS NOT NULL) WHERE rn = 1),
+done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY step DESC) AS rn FROM fill) WHERE rn = 1),
+picks AS (SELECT y AS "year", unnest(tp) AS paper, unnest(tc) AS category, generate_subscripts(tp, 1) AS pick_no FROM done)
+"""
+
+
+def _topics(spark, d):
     p = latest_papers(spark, d).filter("year between 2014 and 2024")
-    c = p.select("year", F.explode(F.array_distinct(F.filter("source_categories", lambda x: x != ""))).alias("category"), "paper", F.col("row_id").alias("pos"))
-    return topic_sample(c, "year", "category", "pos", "paper", 40, 2)
+    names = F.array_distinct(F.filter("source_categories", lambda x: x != ""))
+    c = p.select("year", F.explode(names).alias("category"), "paper", F.col("row_id").alias("pos"))
+    hits = read_table(spark, d, "paper").select("year", F.explode(names).alias("category")).groupBy("year", "category").agg(F.count(F.lit(1)).alias("hits"))
+    return c, hits
+
+
+@query(_TOPICS + "SELECT * FROM picks")
+def topic_coverage_sample(spark, d):
+    """Topic-coverage sample of up to 40 papers a year, each under one of its categories, by the weights of all deliveries (SL1, SL4, AG5)."""
+    c, hits = _topics(spark, d)
+    return topic_sample(c, "year", "category", "pos", "paper", 40, 2, hits)
+
+
+@query(_TOPICS + """SELECT w.y AS "year", w.cat AS category, w.n AS candidates, w.h AS hits, round(w.weight, 3) AS weight, (SELECT count(*) FROM picks p WHERE p."year" = w.y AND p.category = w.cat) AS sampled FROM w""")
+def topic_sample_report(spark, d):
+    """Per year and category: candidates, hits, weight and papers sampled (SL1, AG3-AG5)."""
+    c, hits = _topics(spark, d)
+    sampled = topic_sample(c, "year", "category", "pos", "paper", 40, 2, hits).groupBy("year", "category").agg(F.count(F.lit(1)).alias("sampled"))
+    out = topic_weights(c, "year", "category", "paper", hits).join(sampled, ["year", "category"], "left")
+    return out.select("year", "category", "candidates", "hits", F.round("weight", 3).alias("weight"), F.coalesce("sampled", F.lit(0)).alias("sampled"))
 
 
 @query("SELECT row_id FROM reference_record WHERE regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '(actin bundling|cortical tension|spindle)') AND coalesce(try_cast(year AS INTEGER), 0) BETWEEN 2010 AND 2024")

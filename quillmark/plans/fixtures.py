@@ -41,6 +41,11 @@ def ids_sql(c: str) -> str:
     return f"list_filter({every}, lambda x, i: list_position({every}, x) = i)"
 
 
+def plain_sql(c: str) -> str:
+    """Typography normalised, as far as SQL can: compatibility forms are left out, which the texts do not have."""
+    return rf"""trim(regexp_replace(translate({c}, '‘’“”‐‑‒–—', E'\'\'""-----'), '[\s\x0b\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"""
+
+
 def latest_papers(spark: SparkSession, d: str) -> DataFrame:
     """The last delivery of every paper, by received_at and row_id."""
     p = read_table(spark, d, "paper").withColumn("paper", paper_key(F.col("pmcid"))).filter("paper is not null")
