@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.ids import trimmed
 from quillmark.functions.text import contains_anchor, json_block
 from quillmark.operators.skew import skew_join
 from quillmark.operators.validate import both_ways, duplicates, violations
@@ -18,7 +19,7 @@ STATUSES, UNRESOLVED, ROLES, SIZE = ("ESTABLISHED", "PARTIAL", "MISSING"), ("PAR
 
 
 def _blank(c: str | Column) -> Column:
-    return F.coalesce(F.btrim(c), F.lit("")) == ""
+    return F.coalesce(trimmed(F.col(c) if isinstance(c, str) else c), F.lit("")) == ""
 
 
 def _rows(df: DataFrame, scope: str) -> DataFrame:
@@ -111,7 +112,7 @@ def review_outcomes(reviews: DataFrame, key: str, raw: str) -> DataFrame:
     """(key, <part>_result, <part>_reason, final_decision) of the reviews that break no rule, reasons trimmed (PRJ13)."""
     v, expected = _decoded_review(raw)
     bad = review_rules(reviews, key, raw).select(key).distinct()
-    fields = [c for d in DIMENSIONS for c in (F.try_variant_get(v, f"$.{d}.result", "string").alias(f"{d}_result"), F.btrim(F.try_variant_get(v, f"$.{d}.reason", "string")).alias(f"{d}_reason"))]
+    fields = [c for d in DIMENSIONS for c in (F.try_variant_get(v, f"$.{d}.result", "string").alias(f"{d}_result"), trimmed(F.try_variant_get(v, f"$.{d}.reason", "string")).alias(f"{d}_reason"))]
     return reviews.join(bad, key, "left_anti").select(key, *fields, expected.alias("final_decision"))
 
 
@@ -155,36 +156,71 @@ def pair_violations(pairs: DataFrame, bridges: DataFrame, scopes: DataFrame, sco
     return _all(_rows(own, scope), *repeated, settled, primary, size_outside(pairs, scopes, scope, "pair_count"), not_among(pairs, scope, "source_bridge_ids", bridges, "bridge_id", "pair_id", "pair_unknown_bridge"))
 
 
-def analysis_violations(analyses: DataFrame, observations: DataFrame, subconclusions: DataFrame, evidence_mode: str, scope: str = "package_id") -> DataFrame:
-    """Reference analyses: the fixed evidence mode, two to six subconclusions, each supported by known observations (VA6)."""
-    own = violations(analyses, [scope], [("evidence_mode", ~F.col("evidence_mode").eqNullSafe(F.lit(evidence_mode)), F.col("evidence_mode"))])
+def analysis_violations(analyses: DataFrame, observations: DataFrame, subconclusions: DataFrame, evidence_mode: str, scope: str = "package_id", packages: DataFrame | None = None, figures: DataFrame | None = None, provenance: str | None = None) -> DataFrame:
+    """Reference analyses: the fixed evidence mode and provenance, two to six subconclusions, each supported by known
+    observations; with packages given, analyses of these and no others; with figures given, only figures that were included
+    (analyses and observations then have figure_ids and provenance) (VA6)."""
+    rules = [("evidence_mode", ~F.col("evidence_mode").eqNullSafe(F.lit(evidence_mode)), F.col("evidence_mode"))]
+    own = _rows(violations(analyses, [scope], rules), scope)
+    if provenance is not None:
+        own = own.unionByName(_rows(violations(observations, [scope], [("provenance", ~F.col("provenance").eqNullSafe(F.lit(provenance)), F.col("observation_id"))]), scope))
+    if packages is not None:
+        sides = both_ways(packages, analyses, [scope])
+        own = own.unionByName(sides.select(scope, F.when(F.col("side") == "missing", "unknown_package").otherwise("no_analysis").alias("rule"), F.lit("").alias("detail")))
+    if figures is not None:
+        own = own.unionByName(not_among(observations, scope, "figure_ids", figures, "figure_id", "observation_id", "figure_not_included"))
     bare = violations(subconclusions, [scope], [("unsupported", F.size(F.coalesce("supporting_observation_ids", F.array().cast("array<string>"))) == 0, F.col("subconclusion_id"))])
-    return _all(_rows(own, scope), _rows(bare, scope), size_outside(subconclusions, analyses, scope, "subconclusion_count"), not_among(subconclusions, scope, "supporting_observation_ids", observations, "observation_id", "subconclusion_id", "unknown_observation"))
+    return _all(own, _rows(bare, scope), size_outside(subconclusions, analyses, scope, "subconclusion_count"), not_among(subconclusions, scope, "supporting_observation_ids", observations, "observation_id", "subconclusion_id", "unknown_observation"))
 
 
 def joint_violations(combinations: DataFrame, pairs: DataFrame, subconclusions: DataFrame, scopes: DataFrame, scope: str = "dataset") -> DataFrame:
     """Joint results: combinations of known subconclusions whose owners are two packages at least, pairs that point to a
-    combination and to their own gap, no combination without a pair (VA7). subconclusions: (scope, subconclusion_id, package_id)."""
+    combination and to their own gap, no combination without a pair, ids that are not repeated, texts that are not blank (VA7).
+    subconclusions: (scope, subconclusion_id, package_id)."""
     each = combinations.select(scope, "combination_id", F.explode("subconclusion_ids").alias("subconclusion_id")).join(subconclusions, [scope, "subconclusion_id"])
     owners = each.groupBy(scope, "combination_id").agg(F.countDistinct("package_id").alias("_n"))
     few = combinations.select(scope, "combination_id").join(owners, [scope, "combination_id"], "left").filter(F.coalesce("_n", F.lit(0)) < 2)
-    own = violations(pairs, [scope], [("gap_mismatch", ~F.col("corresponding_gap_id").eqNullSafe(F.col("gap_id")), F.col("pair_id"))])
+    texts = [c for c in ("knowledge_gap", "hypothesis") if c in pairs.columns]
+    own = violations(pairs, [scope], [("gap_mismatch", ~F.col("corresponding_gap_id").eqNullSafe(F.col("gap_id")), F.col("pair_id")), *[(f"blank_{c}", _blank(c), F.col("pair_id")) for c in texts]])
+    repeated = [_rows(duplicates(df, [scope], F.col(c), f"{c}_repeated"), scope) for df, c in ((combinations, "combination_id"), (pairs, "pair_id"), (pairs, "gap_id"))]
     sides = both_ways(combinations, pairs, [scope, "combination_id"])
     return _all(
-        few.select(scope, F.lit("one_package").alias("rule"), F.col("combination_id").alias("detail")), _rows(own, scope), size_outside(pairs, scopes, scope, "pair_count"),
+        few.select(scope, F.lit("one_package").alias("rule"), F.col("combination_id").alias("detail")), _rows(own, scope), *repeated, size_outside(pairs, scopes, scope, "pair_count"),
         not_among(combinations, scope, "subconclusion_ids", subconclusions, "subconclusion_id", "combination_id", "unknown_subconclusion"),
         sides.select(scope, F.when(F.col("side") == "missing", "unknown_combination").otherwise("orphan_combination").alias("rule"), F.col("combination_id").alias("detail")),
     )
 
 
-def proposition_violations(propositions: DataFrame, references: DataFrame, scope: str = "dataset") -> DataFrame:
-    """Exactly one proposition per reference (VA8)."""
+def proposition_violations(propositions: DataFrame, references: DataFrame, scope: str = "dataset", hypotheses: DataFrame | None = None) -> DataFrame:
+    """Exactly one proposition per reference; with hypotheses given (scope, hypothesis_id, path), two to six of them, each with
+    a path of all propositions (VA8)."""
+    more = []
+    if hypotheses is not None:
+        want = propositions.groupBy(scope).agg(F.array_sort(F.collect_set("proposition_id")).alias("_all"))
+        j = hypotheses.join(want, scope, "left").filter(~F.array_sort(F.array_distinct("path")).eqNullSafe(F.col("_all")))
+        more = [size_outside(hypotheses, references, scope, "hypothesis_count"), j.select(scope, F.lit("path").alias("rule"), F.col("hypothesis_id").alias("detail"))]
     return _all(
+        *more,
         both_ways(references, propositions, [scope, "reference_id"]).select(scope, F.when(F.col("side") == "missing", "unknown_reference").otherwise("no_proposition").alias("rule"), F.col("reference_id").alias("detail")),
         _rows(duplicates(propositions, [scope], F.col("reference_id"), "several_propositions"), scope),
     )
 
 
+def document_rules(documents: DataFrame, key: str, raw: str, required: Sequence[str] = (), constants: dict[str, str] | None = None, sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(key, rule, detail): documents that are no object, lack required paths, differ from constants, or whose lists have fewer
+    or more entries than allowed (VA9). Paths are given without the root, as a.b."""
+    v = F.try_parse_json(raw)
+    kind = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{p}", "variant")), F.lit("VOID"))
+    rules: list[tuple[str, Column, Column]] = [("required", kind(p) == "VOID", F.lit(p)) for p in required]
+    rules += [("constant", ~F.try_variant_get(v, f"$.{p}", "string").eqNullSafe(F.lit(c)), F.lit(p)) for p, c in (constants or {}).items()]
+    for p, (least, most) in (sizes or {}).items():
+        n = F.coalesce(F.size(F.try_variant_get(v, f"$.{p}", "array<variant>")), F.lit(-1))
+        rules.append(("size", ~n.between(least, most), F.lit(p)))
+    known = documents.withColumn("_object", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+    broken = known.filter(~F.col("_object")).select(key, F.lit("no_object").alias("rule"), F.lit("").alias("detail"))
+    return _all(broken, _rows(violations(known.filter("_object"), [key], rules), key))
+
+
 def check_providers(models: Sequence[str], count: int = 4) -> None:
     """Configuration check of model providers: so many, distinct, none a placeholder (VA12)."""
     if len(models) != count or len(set(models)) != count or any(not m or m.startswith("<") or "placeholder" in m.lower() for m in models):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmark.plans import assembly, curation, evidence_plans, parsing
+from quillmark.plans import assembly, curation, evidence_plans, parsing, reasoning_plans
 
-_MODULES = [curation, evidence_plans, assembly, parsing]
+_MODULES = [curation, evidence_plans, assembly, parsing, reasoning_plans]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
