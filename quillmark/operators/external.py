@@ -28,30 +28,36 @@ def memo_key(operation: str, version: str, model: str, payload: Column) -> Colum
     return F.sha2(F.concat_ws("|", F.lit(operation), F.lit(version), F.lit(model), F.coalesce(payload, F.lit(""))), 256)
 
 
-def call(requests: DataFrame, memo: DataFrame, provider: Provider, operation: str, batch: int = 32, tasks: int = 8, tries: int = 3, wait: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def call(requests: DataFrame, memo: DataFrame, provider: Provider, operation: str, batch: int = 32, tasks: int = 8, tries: int = 3, wait: float = 0.0, pause: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(answers, new memo rows) of requests (key, payload).
 
     Repeated keys are asked once. An error counts as no answer: after `tries` attempts it comes out as a row with the error
-    and a NULL response, and the job goes on (PL14). `wait` seconds lie between batches of a task (EX6).
+    and a NULL response, and the job goes on (PL14). A batch that fails as a whole is asked again payload by payload, so one
+    bad payload spoils no other. All tasks together send a batch every `wait` seconds at most; before an attempt is
+    repeated, at least `pause` seconds pass, twice as many each time, up to 16 (EX6).
     """
     good = memo.filter((F.col("operation") == operation) & F.col("error").isNull()).select("key", "response")
     todo = skew_join(requests.groupBy("key").agg(F.first("payload").alias("payload")), good.select("key").distinct(), ["key"], "left_anti", "key")
 
+    def asked(payloads: list[str]) -> list[tuple[str | None, str | None]]:
+        error = ""
+        for attempt in range(tries):
+            try:
+                return provider(payloads)
+            except Exception as e:  # noqa: BLE001 - a failure is a row, not the job's end
+                error = f"{type(e).__name__}: {e}"
+                if attempt + 1 < tries:
+                    time.sleep(min(16.0, max(wait, pause) * 2**attempt))
+        return [(None, error)] if len(payloads) == 1 else [x for p in payloads for x in asked([p])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), batch):
                 part = pdf.iloc[a:a + batch]
-                answers: list[tuple[str | None, str | None]] = []
-                for attempt in range(tries):
-                    try:
-                        answers = provider(list(part["payload"]))
-                        break
-                    except Exception as e:  # noqa: BLE001 - one batch's failure is a row, not the job's end
-                        answers = [(None, f"{type(e).__name__}: {e}")] * len(part)
-                        time.sleep(min(16.0, wait * 2**attempt))
+                answers = asked(list(part["payload"]))
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "operation": operation, "response": [x for x, _ in answers], "error": [x for _, x in answers]})
                 if wait:
-                    time.sleep(wait)
+                    time.sleep(wait * tasks)
 
     new = materialize(todo.repartition(tasks).mapInPandas(run, MEMO), "memo")
     known = good.unionByName(new.filter("error is null").select("key", "response")).groupBy("key").agg(F.first("response").alias("response"))

@@ -26,9 +26,20 @@ def paper_identity() -> Column:
     return F.coalesce(F.concat(F.lit("pmcid:"), paper_key(F.col("pmcid"))), F.concat(F.lit("doi:"), doi_norm(F.col("doi"))), F.concat(F.lit("pmid:"), filled("pmid")), F.concat(F.lit("title:"), F.lower(filled("title"))))
 
 
+def short_identity() -> Column:
+    """pmcid, else doi, else title, without a prefix (SO8); NULL where all are empty."""
+    return F.coalesce(paper_key(F.col("pmcid")), doi_norm(F.col("doi")), F.lower(F.nullif(trimmed(F.col("title")), F.lit(""))))
+
+
+def without_identity(df: DataFrame, identity: Column) -> DataFrame:
+    """Rows that nothing identifies, which are rejected: they are not one paper (SO8)."""
+    return df.filter(identity.isNull())
+
+
 def first_per_identity(df: DataFrame, scope: list[str], identity: Column, order: str) -> DataFrame:
-    """(scope, identity, first, n): per scope and identity its first row's order value and its number of rows."""
-    return df.withColumn("identity", identity).groupBy(*scope, "identity").agg(F.min(order).alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
+    """(scope, identity, first, n): per scope and identity its first row's order value and its number of rows; rows without
+    an identity are left out (without_identity has them)."""
+    return df.withColumn("identity", identity).filter("identity is not null").groupBy(*scope, "identity").agg(F.min(order).alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

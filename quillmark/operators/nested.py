@@ -9,6 +9,7 @@ surrounds the record is dropped, encoded parts are decoded, and wherever some re
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,8 +19,9 @@ from pyspark.sql import types as T
 
 from quillmark.session import materialize, read_table
 
-#: Bound of what schema inference sends to the driver: distinct paths of the merged schema.
-MAX_PATHS = 20_000
+#: An object with more different keys than these, over all records, is keyed by data: it stands for the list of its entries.
+#: Bound of what schema inference then sends to the driver: distinct paths of the merged schema.
+MAX_KEYS, MAX_PATHS = 500, 100_000
 _DECODER = json.JSONDecoder(parse_constant=lambda x: None)
 
 
@@ -111,18 +113,68 @@ def _scalar(v):
     return json.dumps(v, ensure_ascii=False)
 
 
-def _walk(v, path: str, lists_only: bool, out: dict[tuple[str, str], int]) -> None:
-    v2 = _decoded(v)
-    if isinstance(v2, list):
-        out[path, "list"] = out.get((path, "list"), 0) + 1
-        for x in v2:
-            _walk(x, path + "[]", lists_only, out)
-    elif isinstance(v2, dict):
-        out[path, "object"] = out.get((path, "object"), 0) + 1
-        for k, x in v2.items():
-            _walk(x, f"{path}.{k}", lists_only, out)
-    elif v2 is not None:
-        out[path, "value"] = out.get((path, "value"), 0) + 1
+class Paths:
+    """The places of records with what stands there, one path per place: the entries of an object at a list's place, and of
+    one that is keyed by data, are all at path[]."""
+
+    def __init__(self, declared: dict[str, frozenset[str]]):
+        self.declared = declared
+        self.kinds: dict[tuple[str, str], int] = {}
+        self.keys: dict[str, set[str]] = {}
+        self.maps: set[str] = set()
+
+    def add(self, path: str, kind: str, n: int = 1) -> None:
+        self.kinds[path, kind] = self.kinds.get((path, kind), 0) + n
+
+    def walk(self, v, path: str = "$") -> None:
+        v = _decoded(v)
+        if isinstance(v, list):
+            self.add(path, "list")
+            for x in v:
+                self.walk(x, path + "[]")
+        elif isinstance(v, dict):
+            if path in self.maps or path in self.declared and v and not any(k in self.declared[path] for k in v):
+                self.add(path, "list")
+                for x in v.values():
+                    x = _decoded(x)
+                    for y in x if isinstance(x, list) else [x]:
+                        self.walk(y, path + "[]")
+                return
+            self.add(path, "object")
+            self.keys.setdefault(path, set()).update(v)
+            for k, x in v.items():
+                self.walk(x, f"{path}.{k}")
+            self.fold(path)
+        elif v is not None:
+            self.add(path, "value")
+
+    def fold(self, path: str) -> None:
+        """Once an object has too many keys, all that was seen below its keys stands at its entries' place."""
+        if path in self.maps or len(self.keys.get(path, ())) <= MAX_KEYS:
+            return
+        self.maps.add(path)
+        below = re.compile(re.escape(path) + r"\.[^.\[]*")
+        old, self.kinds = self.kinds, {}
+        for (p, kind), n in old.items():
+            at = below.match(p)
+            self.add(path + "[]" + p[at.end():] if at else p, "list" if p == path and kind == "object" else kind, n)
+        self.keys = {below.sub(lambda m: path + "[]", p, count=1) if below.match(p) else p: k for p, k in self.keys.items() if p != path}
+
+
+def _folded(found: DataFrame) -> DataFrame:
+    """The paths of all tasks with those below objects that have too many keys in all of them together at one place."""
+    while found.count() > MAX_KEYS:
+        child = r"^(.*)\.[^.\[]*$"
+        many = found.filter(F.col("path").rlike(child)).select(F.regexp_extract("path", child, 1).alias("p"), "path").distinct().groupBy("p").agg(F.count(F.lit(1)).alias("k"))
+        # an outermost one at a time, as those inside it move with it
+        top = many.filter(F.col("k") > MAX_KEYS).orderBy(F.length("p"), "p").first()
+        if top is None:
+            return found
+        below = "^" + re.escape(top.p) + r"\.[^.\[]*"
+        kind = F.when((F.col("path") == top.p) & (F.col("kind") == "object"), "list").otherwise(F.col("kind"))
+        path = F.regexp_replace("path", below, re.escape(top.p + "[]"))
+        found = materialize(found.select(path.alias("path"), kind.alias("kind"), "n").groupBy("path", "kind").agg(F.sum("n").alias("n")), "paths")
+    return found
 
 
 def infer_shape(records: DataFrame, text: str, keys: list[str], least: int = 2, declared: dict[str, list[str]] | None = None) -> tuple[dict[str, frozenset[str]], frozenset[str]]:
@@ -130,20 +182,21 @@ def infer_shape(records: DataFrame, text: str, keys: list[str], least: int = 2,
 
     Every record is read; counts of (path, kind) are aggregated on the executors. A path at which any record has a list
     is a list path, and so are the declared ones (path -> some fields of its elements), which few or no records may show;
-    names below an object that stands at a list's place are no part of the schema. More than MAX_PATHS distinct paths
-    raise ValueError.
+    names below an object that stands at a list's place, or that has more than MAX_KEYS different keys, are no part of the
+    schema: they are data. Only a schema of more than MAX_PATHS fields raises ValueError.
     """
-    wanted = frozenset(keys)
+    wanted, known = frozenset(keys), {p: frozenset(f) for p, f in (declared or {}).items()}
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = Paths(known)  # one for the whole task, so that it sends each place once
         for pdf in batches:
-            seen: dict[tuple[str, str], int] = {}
             for s in pdf[text]:
                 if (v := extract_record(s, wanted, least)) is not None:
-                    _walk(v, "$", False, seen)
-            yield pd.DataFrame([(p, k, n) for (p, k), n in seen.items()], columns=["path", "kind", "n"]).astype({"n": "int64"})
+                    seen.walk(v)
+        yield pd.DataFrame([(p, k, n) for (p, k), n in seen.kinds.items()], columns=["path", "kind", "n"]).astype({"n": "int64"})
 
     found = records.select(text).mapInPandas(paths, "path string, kind string, n bigint").groupBy("path", "kind").agg(F.sum("n").alias("n"))
+    found = materialize(_folded(materialize(found, "paths")), "paths")
     rows = found.limit(MAX_PATHS + 1).collect()
     if len(rows) > MAX_PATHS:
         raise ValueError(f"the records have more than {MAX_PATHS} distinct paths")
@@ -161,7 +214,8 @@ def infer_shape(records: DataFrame, text: str, keys: list[str], least: int = 2,
     for p in kinds:
         if "object" in kinds[p] and p not in lists:
             objects.add(p)
-    return lists, frozenset(objects)
+    keyed = tuple(p + "." for p in lists)  # names of entries
+    return {p: f for p, f in lists.items() if not p.startswith(keyed)}, frozenset(p for p in objects if not p.startswith(keyed))
 
 
 def canonical_records(df: DataFrame, key: str, text: str, keys: list[str], least: int = 2, declared: dict[str, list[str]] | None = None) -> DataFrame:
@@ -238,7 +292,8 @@ def flatten_records(records: DataFrame, key: str, text: str, schema: T.StructTyp
             child = df.select(*kept, F.posexplode(c).alias("_p", "_e")).select(*kept, (F.col("_p") + 1).cast("bigint").alias(pos), "_e")
             visit(child, F.col("_e"), elem, sub, depth + 1, [*kept, pos])
 
-    parsed = records.select(key, F.from_json(text, schema).alias("_r"))
+    # parsed once; each table reads the columns it needs of that
+    parsed = materialize(records.select(key, F.from_json(text, schema).alias("_r")), "parsed") if schema.fields else records.select(key, F.lit(None).cast(schema).alias("_r"))
     visit(parsed, F.col("_r"), schema, "$", 0, [key])
     return tables
 

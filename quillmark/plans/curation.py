@@ -189,12 +189,29 @@ def ref_identity_dedup(spark, d):
     return identity.first_per_identity(r, ["paper"], identity.reference_identity(), "row_id")
 
 
-@query(f"SELECT {_PAPER_IDENTITY} AS identity, min(row_id) AS first_id, count(*) AS n_rows FROM paper GROUP BY ALL")
+@query(f"SELECT {_PAPER_IDENTITY} AS identity, min(row_id) AS first_id, count(*) AS n_rows FROM paper WHERE {_PAPER_IDENTITY} IS NOT NULL GROUP BY ALL")
 def paper_identity(spark, d):
     """First delivery per paper identity (SO8)."""
     return identity.first_per_identity(read_table(spark, d, "paper"), [], identity.paper_identity(), "row_id")
 
 
+_SHORT_IDENTITY = f"""coalesce(nullif({paper_sql('pmcid')}, ''), {_DOI.format(c='doi')}, lower({_TRIM.format(c='title')}))"""
+
+
+@query(f"SELECT {_SHORT_IDENTITY} AS identity, min(row_id) AS first_id, count(*) AS n_rows FROM paper WHERE {_SHORT_IDENTITY} IS NOT NULL GROUP BY ALL")
+def paper_short_identity(spark, d):
+    """First delivery per identity without prefix (SO8)."""
+    return identity.first_per_identity(read_table(spark, d, "paper"), [], identity.short_identity(), "row_id")
+
+
+@query(f"SELECT row_id FROM paper WHERE {_PAPER_IDENTITY} IS NULL UNION ALL SELECT -row_id FROM reference_record WHERE nullif({paper_sql('citing_pmcid')}, '') IS NULL")
+def rejected_without_identity(spark, d):
+    """Deliveries that nothing identifies, and (negative) references of no paper (SO8)."""
+    p = identity.without_identity(read_table(spark, d, "paper"), identity.paper_identity()).select("row_id")
+    r = identity.without_identity(read_table(spark, d, "reference_record"), paper_key(F.col("citing_pmcid"))).select((-F.col("row_id")).alias("row_id"))
+    return p.unionByName(r)
+
+
 @query(f"SELECT ref_key, {_DOI.format(c='doi')} AS doi FROM cited_reference")
 def doi_norm(spark, d):
     """DOIs of the cited references in one writing (SC8)."""

@@ -37,10 +37,13 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one only where that is unset (tests, local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset in a local run (tests). A
+    cluster without it is an error, as no folder of one machine would do."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="quillmark-shared-")

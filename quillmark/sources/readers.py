@@ -22,8 +22,9 @@ LIST_COLUMNS = ("article_types", "source_categories")
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped, a missing path is an error (SRC7)."""
-    r = spark.read.option("mode", "PERMISSIVE")
-    return (r.schema(schema) if schema is not None else r).json(path)
+    schema = spark.read.json(path).schema if schema is None else schema
+    lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*$"))
+    return lines.select(F.from_json("value", schema).alias("_d")).select("_d.*")
 
 
 def read_jsonl_if_exists(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

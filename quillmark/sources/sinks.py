@@ -5,13 +5,17 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.functions.text import pipe_join
 
 
+#: Ending of the path a table is set aside at while it is replaced.
+ASIDE = ".aside"
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines; mode append for a durable log whose files appear when complete (SNK1, SNK4, SNK5)."""
     df.write.mode(mode).json(path)
@@ -38,22 +42,41 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     flat(df, columns).write.mode("overwrite").options(header=True, escape='"', quoteAll=False).csv(path)
 
 
-def write_csv_union(dfs: list[DataFrame], path: str) -> None:
-    """The union of tables with differing columns, its header sorted (SNK3)."""
+def write_csv_union(dfs: list[DataFrame], path: str, header: str = "pmcid") -> None:
+    """The union of tables with differing columns, its header sorted; of no tables, a header of one column (SNK3)."""
+    dfs = dfs or [SparkSession.active().createDataFrame([], f"{header} string")]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [flat(x) for x in dfs])
     both.select(*sorted(both.columns)).write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace a table as a whole: written beside it, then renamed in one step (SNK6)."""
+    """Replace a table as a whole (SNK6): written beside it, the old one renamed aside, the new one into its place, and only
+    then the old one deleted. Whenever it breaks off, one of the two is there whole; restore_table puts it back."""
     spark = df.sparkSession
-    jvm, staged = spark._jvm, f"{path}-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, aside = at(f"{path}-{uuid.uuid4().hex}"), at(path), at(path + ASIDE)
+    restore_table(spark, path)
+    df.write.parquet(new.toString())
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"{path} could not be set aside")
     if not fs.rename(new, old):
-        raise OSError(f"{staged} could not be renamed to {path}")
+        restore_table(spark, path)
+        raise OSError(f"{new} could not be renamed to {path}")
+    fs.delete(aside, True)
+
+
+def restore_table(spark, path: str) -> bool:
+    """Put back a table that a broken-off replacement has set aside; whether there was one to put back."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    old, aside = at(path), at(path + ASIDE)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(aside):
+        return False
+    if fs.exists(old):  # the new table got into its place
+        fs.delete(aside, True)
+        return False
+    return fs.rename(aside, old)
 
 
 def write_by_category(df: DataFrame, categories: DataFrame, column: str, path: str) -> None:

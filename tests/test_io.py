@@ -8,8 +8,8 @@ from quillmark.streaming import resume
 
 
 def test_jsonl_and_missing_paths(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": 2}\n', encoding="utf-8")
-    assert sorted(r.k for r in readers.read_jsonl(spark, str(tmp_path / "a.jsonl"), "k int").filter("k is not null").collect()) == [1, 2]
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n  \n{"k": 2}\n', encoding="utf-8")
+    assert sorted(r.k for r in readers.read_jsonl(spark, str(tmp_path / "a.jsonl"), "k int").collect()) == [1, 2]
     assert readers.read_jsonl_if_exists(spark, str(tmp_path / "none"), "k int").count() == 0
     with pytest.raises(Exception):
         readers.read_jsonl(spark, str(tmp_path / "none"), "k int").count()
@@ -56,7 +56,12 @@ def test_sealed_and_category_sinks(spark, tmp_path):
     assert {p.name for p in (tmp_path / "cat").iterdir() if p.is_dir()} == {"c=a", "c=b"}
     for v in ("one", "two"):
         sinks.replace_table(spark.createDataFrame([(v,)], "v string"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).first().v == "two" and not (tmp_path / "t.aside").exists()
+    (tmp_path / "t").rename(tmp_path / "t.aside")  # as a replacement that broke off leaves it
+    assert sinks.restore_table(spark, str(tmp_path / "t")) and not sinks.restore_table(spark, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).first().v == "two"
+    sinks.write_csv_union([], str(tmp_path / "none"))
+    assert readers.read_csv_rows(spark, str(tmp_path / "none")).columns == ["pmcid"]
 
 
 def test_search(spark):

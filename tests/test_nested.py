@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from quillmark.operators import nested
 from quillmark.operators.nested import AUDIT_KEYS, AUDIT_LISTS, audit_children, canonical_records, extract_record, flatten_records, merged_schema
 
 SCHEMA = "audit_id long, audit_json string, record string"
@@ -76,3 +77,24 @@ def test_canonical_form_keeps_order(spark):
     assert [a["reference_id"] for a in rec["evidence_assessments"]] == ["R9", "R8"]
     with pytest.raises(KeyError):
         rec["nothing"]
+
+
+def test_records_keyed_by_their_own_ids(spark, monkeypatch):
+    """Keys that are data make one place, however many there are, with and without a record that shows a list."""
+    monkeypatch.setattr(nested, "MAX_PATHS", 60)
+    monkeypatch.setattr(nested, "MAX_KEYS", 12)
+    texts = [json.dumps({**FULL, "evidence_assessments": {f"id{i}": {"reference_id": f"R{i}", "relevant_figure_ids": []}}, "notes": {f"n{i}": {"v": i}}}) for i in range(100)]
+    got = children(spark, *texts)
+    assert [g[4] for g in got if g[1] == "assessment"] == [f"R{i}" for i in range(100)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "audit_id long, audit_json string")
+    lists, objects = nested.infer_shape(df, "audit_json", AUDIT_KEYS, declared=AUDIT_LISTS)
+    assert lists["$.notes"] == {"v"} and not any("id7" in p or "n7" in p for p in objects)
+    t = nested.audit_tables(df)["$.notes"]
+    assert sorted(int(r.v) for r in t.collect()) == list(range(100))
+
+
+def test_many_genuine_fields_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nested, "MAX_PATHS", 20)
+    df = audits(spark, json.dumps({**FULL, **{f"f{i}": 1 for i in range(40)}}))
+    with pytest.raises(ValueError):
+        nested.infer_shape(df, "audit_json", AUDIT_KEYS)

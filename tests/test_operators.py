@@ -189,6 +189,13 @@ def test_memo_is_asked_once_and_failures_are_rows(spark):
     def broken(payloads):
         raise RuntimeError("down")
 
+    def picky(payloads):
+        if "b" in payloads:
+            raise ValueError("b")
+        return [(p.upper(), None) for p in payloads]
+
+    answers, _ = external.call(req, memo, picky, "op", tasks=1, tries=1)
+    assert {r.key: (r.response, r.error) for r in answers.collect()} == {"k1": ("kept", None), "k2": (None, "ValueError: b"), "k3": ("C", None)}
     answers, _ = external.call(req, memo, broken, "op", tries=2)
     assert {r.key: r.error for r in answers.collect()} == {"k1": None, "k2": "RuntimeError: down", "k3": "RuntimeError: down"}
 
