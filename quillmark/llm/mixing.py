@@ -14,6 +14,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +27,24 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Steepest relative slope of a schedule, hash ranges a source is ordered in, and the most target rows that are accepted.
 RAMP, RANGES, MAX_SOURCES = 0.5, 1024, 1000
 _encodings: dict[str, object] = {}
+_shipped: set[tuple[str, str]] = set()
+
+
+def _ship(spark: SparkSession, path: str) -> None:
+    """Give the vocabulary file to every executor, once per application."""
+    app = (spark.sparkContext.applicationId, path)
+    if app not in _shipped:
+        _shipped.add(app)
+        spark.sparkContext.addFile(path)
 
 
 def encoding(path: str):
-    """The tokenizer of a vocabulary file, built once per Python worker."""
+    """The tokenizer of a vocabulary file, built once per Python worker, from the copy that came with the job."""
     if path not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
+        own = SparkFiles.get(os.path.basename(path))
+        with open(own if os.path.exists(own) else path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encodings[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
@@ -42,6 +53,7 @@ def encoding(path: str):
 def with_tokens(df: DataFrame, key: str, text: str, keep: list[str], path: str = TOKENIZER) -> DataFrame:
     """(key, *keep, n_tokens): tokens of the whole text; NULL has none."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [key, *keep])
+    _ship(df.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path)
@@ -76,8 +88,26 @@ def plan(docs: DataFrame, targets: DataFrame, total: int | None = None, ramp: fl
     live = {k: w for k, w in want.items() if w[1] > 0 and w[2] > 0 and have.get(k, (0, 0))[0]}
     if total is None:
         total = math.floor(min((w[2] * have[k][0] / w[1] for k, w in live.items()), default=0))
+        demand = {k: w[1] * total for k, w in live.items()}
+    else:
+        demand = demands({k: w[1] for k, w in live.items()}, {k: w[2] * have[k][0] for k, w in live.items()}, total)
     slopes = schedules({k: w[1] for k, w in live.items()}, ramp)
-    return [(k, w[0], w[1], w[2], *(have.get(k, (0, 0))), min(float(w[1] * total), float(w[2] * have[k][0])) if k in live else 0.0, slopes.get(k, 0.0)) for k, w in want.items()], total
+    return [(k, w[0], w[1], w[2], *(have.get(k, (0, 0))), float(demand.get(k, 0.0)), slopes.get(k, 0.0)) for k, w in want.items()], total
+
+
+def demands(shares: dict[str, float], most: dict[str, float], total: float) -> dict[str, float]:
+    """Tokens per source: a total by shares; what a source cannot give with all its repeats goes to the others by their shares."""
+    out: dict[str, float] = {}
+    rest = dict(shares)
+    while rest:
+        left, whole = total - sum(out.values()), sum(rest.values())
+        full = [k for k, s in rest.items() if left * s / whole >= most[k]]
+        if not full:
+            return out | {k: left * s / whole for k, s in rest.items()}
+        for k in full:
+            out[k] = most[k]
+            del rest[k]
+    return out
 
 
 def tokenized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -88,15 +118,16 @@ def tokenized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return materialize(counted.groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens")).filter("n_tokens > 0").select("doc_id", "key", "n_tokens"), "tokens")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, ramp: float = RAMP, path: str = TOKENIZER, seed: int = 77) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, ramp: float = RAMP, path: str = TOKENIZER, seed: int = 77, docs: DataFrame | None = None) -> DataFrame:
     """(position, doc_id, source, use_no, n_tokens): the mixture, range-sorted by training position in [0, 1].
 
-    total: tokens of the mixture; by default the most at which every source with documents can fill its share. Sources
+    total: tokens of the mixture; by default the most at which every source with documents can fill its share. With a larger
+    total, what a source cannot fill goes to the others by their shares. docs: the result of tokenized, if it is there. Sources
     without a target are left out; targets without documents get nothing (the report says so). A document is used at most
     max_repeats times. A use belongs to the mixture if its middle lies within the source's demand, so a source misses its
     demand by at most half a document. NULL and empty texts are never used; empty tables give an empty mixture.
     """
-    docs = tokenized(documents, path)
+    docs = tokenized(documents, path) if docs is None else docs
     rows, _ = plan(docs, targets, total, ramp)
     spark = documents.sparkSession
     sources = F.broadcast(spark.createDataFrame(rows, "key string, source string, share double, repeats int, tokens bigint, n_docs bigint, demand double, slope double"))
@@ -106,8 +137,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, ramp
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
     inside = Window.partitionBy("key", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = hashed.join(F.broadcast(offsets), ["key", "range"]).withColumn("upto", F.col("offset") + F.sum("n_tokens").over(inside))
-    used = placed.withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    used = used.withColumn("middle", (F.col("use_no") - 1) * F.col("tokens") + F.col("upto") - F.col("n_tokens") / 2).filter("middle <= demand")
+    # only the uses whose middle lies within the demand are written out
+    uses = F.least(F.col("repeats").cast("bigint"), F.floor((F.col("demand") - F.col("upto") + F.col("n_tokens") / 2) / F.col("tokens")) + 1)
+    used = placed.withColumn("uses", uses).filter("uses > 0").withColumn("use_no", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
+    used = used.withColumn("middle", (F.col("use_no") - 1) * F.col("tokens") + F.col("upto") - F.col("n_tokens") / 2)
     # demand up to t is demand * (t + slope * (t^2 - t)); its inverse at x = middle / demand
     x, s = F.col("middle") / F.col("demand"), F.col("slope")
     t = 2 * x / ((1 - s) + F.sqrt((1 - s) * (1 - s) + 4 * s * x))
@@ -117,9 +150,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, ramp
 
 def mixture_report(documents: DataFrame, targets: DataFrame, total: int | None = None, path: str = TOKENIZER) -> DataFrame:
     """Per target source: target_share, max_repeats, n_docs, available_tokens, n_uses, used_tokens, reached_share, is_short."""
-    mixed = mix(documents, targets, total, path=path).groupBy("source").agg(F.count(F.lit(1)).alias("n_uses"), F.sum("n_tokens").alias("used_tokens"), F.max("use_no").alias("most_uses"))
+    tokens = tokenized(documents, path)
+    mixed = mix(documents, targets, total, path=path, docs=tokens).groupBy("source").agg(F.count(F.lit(1)).alias("n_uses"), F.sum("n_tokens").alias("used_tokens"), F.max("use_no").alias("most_uses"))
     mixed = materialize(mixed, "mixture")
-    docs = tokenized(documents, path).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("available_tokens"))
+    docs = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("available_tokens"))
     whole = mixed.agg(F.sum("used_tokens")).scalar()
     t = targets.select("source", label_key(F.col("source")).alias("key"), "target_share", "max_repeats")
     out = t.join(docs, "key", "left").join(mixed, "source", "left")

@@ -1,8 +1,8 @@
 """Sample matching target category proportions, by hierarchical top-down allocation.
 
-The categories form a tree: all papers, primary category, year. Quotas go down the tree; what a leaf cannot fill passes
-first to its siblings (other years of the category), then to its cousins (the leaf's year in other categories, then any
-leaf). At the leaves papers are drawn by permuted dense rank: the rank of a seeded hash within the leaf. Only counts per
+The categories form a tree with one level per dimension (here: all papers, primary category, year). Quotas go down the
+tree; what a node cannot fill passes first to its siblings, then to its cousins (nodes of the same value in other branches,
+then any). At the leaves papers are drawn by permuted dense rank: the rank of a seeded hash within the leaf. Only counts per
 leaf reach the driver; a rank is an offset of a hash range plus the rank within it, so a leaf of any size is ranked in
 parallel.
 """
@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from quillmark.functions.ids import label_key, paper_key
 from quillmark.session import materialize, read_table
 
-#: Share of the distinct papers to draw, hash ranges a leaf is ranked in, and the most target rows that are accepted.
-SHARE, RANGES, MAX_TARGETS = 0.25, 1024, 10_000
+#: Share of the distinct papers to draw, hash ranges a leaf is ranked in, the most target rows that are accepted, and the most
+#: leaves with papers (their counts and quotas are on the driver).
+SHARE, RANGES, MAX_TARGETS, MAX_LEAVES = 0.25, 1024, 10_000, 500_000
+#: The levels of the tree: dimensions of the targets and the column each is about.
+LEVELS = (("primary_category", "category"), ("year", "year"))
 OTHER = ""
+Leaf = tuple[str, ...]
 
 
 @dataclass
@@ -63,65 +67,123 @@ def _shares(total: int, weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def allocate(counts: dict[tuple[str, str], int], n: int, first: list[Target], second: list[Target]) -> dict[tuple[str, str], int]:
-    """Papers to draw per leaf (first key, second key), n in all if there are as many. OTHER stands for values without a target."""
-    got = dict.fromkeys(counts, 0)
-    n = min(n, sum(counts.values()))
-    quota1, quota2 = (_shares(n, {t.key: t.permille for t in ts}) if ts else {OTHER: n} for ts in (first, second))
-    years = [*quota2] + [OTHER] * (OTHER not in quota2)
-    cats = [*quota1] + [OTHER] * (OTHER not in quota1)
-
-    def spare(leaf: tuple[str, str]) -> int:
-        return counts.get(leaf, 0) - got.get(leaf, 0)
-
-    def take(leaf: tuple[str, str], want: int) -> int:
-        k = max(0, min(want, spare(leaf), n - sum(got.values())))
-        if k:
-            got[leaf] += k
-        return k
-
-    def drawn(axis: int, key: str) -> int:
-        return sum(v for leaf, v in got.items() if leaf[axis] == key)
-
-    def short_years() -> list[str]:
-        return sorted(years, key=lambda y: (-(quota2.get(y, 0) - drawn(1, y)), y == OTHER, y))
-
-    # minima first, from the leaves with most papers
-    for axis, ts in ((0, first), (1, second)):
-        for t in sorted(ts, key=lambda t: sum(v for leaf, v in counts.items() if leaf[axis] == t.key)):
-            for leaf in sorted((x for x in counts if x[axis] == t.key), key=lambda x: (-spare(x), x)):
-                take(leaf, t.min_rows - drawn(axis, t.key))
-    # down the tree: each category's quota to its years, small categories first
-    for c in sorted(cats, key=lambda c: (sum(v for leaf, v in counts.items() if leaf[0] == c), c)):
-        q = quota1.get(c, 0)
-        for y, k in _shares(q, {y: quota2.get(y, 0) for y in years}).items():
-            take((c, y), min(k - got.get((c, y), 0), quota2.get(y, 0) - drawn(1, y)))
-        for y in short_years():  # siblings, those years first that still lack most
-            take((c, y), min(q - drawn(0, c), quota2.get(y, 0) - drawn(1, y)))
-    for c in cats:
-        for y in short_years():
-            take((c, y), quota1.get(c, 0) - drawn(0, c))
-    # cousins: a year's unmet quota to its leaves in other categories, those that lack most first; then any leaf
-    for y in short_years():
-        for c in sorted(cats, key=lambda c: (-(quota1.get(c, 0) - drawn(0, c)), c == OTHER, c)):
-            take((c, y), quota2.get(y, 0) - drawn(1, y))
-    for leaf in sorted(counts, key=lambda x: (OTHER in x, -spare(x), x)):
-        take(leaf, n)
-    return got
-
-
-def _prepared(papers: DataFrame, targets: DataFrame, share: float):
-    ts = read_targets(targets)
-    first, second = ([t for t in ts if t.dimension == d] for d in ("primary_category", "year"))
-    p = materialize(distinct_papers(papers), "papers")
+class Allocation:
+    """Papers to draw per leaf. OTHER stands for values without a target; it is filled last.
 
-    def known(c: str, keys: list[str]):
-        return F.when(F.col(c).isin(keys), F.col(c)).otherwise(F.lit(OTHER)) if keys else F.lit(OTHER)
+    Running totals per value and per node make every step cost what it changes, so all of it is linear in the leaves (but
+    for sorting).
+    """
 
-    p = p.withColumn("leaf_1", known("category", [t.key for t in first])).withColumn("leaf_2", known("year", [t.key for t in second]))
-    counts = {(r.leaf_1, r.leaf_2): r["count"] for r in p.groupBy("leaf_1", "leaf_2").count().collect()}  # at most (targets + 1)^2 leaves
-    total = sum(counts.values())
-    return p, first, second, counts, math.floor(total * share)
+    def __init__(self, counts: dict[Leaf, int], n: int, levels: list[list[Target]]):
+        self.counts, self.n, self.levels = counts, min(n, sum(counts.values())), levels
+        self.quotas = [_shares(self.n, {t.key: t.permille for t in ts}) if ts else {OTHER: self.n} for ts in levels]
+        self.got = dict.fromkeys(counts, 0)
+        self.total = 0
+        self.drawn: list[dict[str, int]] = [{} for _ in levels]
+        self.under: dict[Leaf, int] = {}
+        self.held: list[dict[str, int]] = [{} for _ in levels]
+        self.children: dict[Leaf, list[str]] = {}
+        self.leaves_of: list[dict[str, list[Leaf]]] = [{} for _ in levels]
+        seen: set[Leaf] = set()
+        for leaf in sorted(counts):
+            for i, key in enumerate(leaf):
+                self.held[i][key] = self.held[i].get(key, 0) + counts[leaf]
+                self.leaves_of[i].setdefault(key, []).append(leaf)
+                if leaf[:i + 1] not in seen:
+                    seen.add(leaf[:i + 1])
+                    self.children.setdefault(leaf[:i], []).append(key)
+
+    def spare(self, leaf: Leaf) -> int:
+        return self.counts[leaf] - self.got[leaf]
+
+    def lacks(self, level: int, key: str) -> int:
+        return self.quotas[level].get(key, 0) - self.drawn[level].get(key, 0)
+
+    def take(self, leaf: Leaf, want: int) -> None:
+        k = min(want, self.spare(leaf), self.n - self.total)
+        if k > 0:
+            self.got[leaf] += k
+            self.total += k
+            for i, key in enumerate(leaf):
+                self.drawn[i][key] = self.drawn[i].get(key, 0) + k
+                self.under[leaf[:i + 1]] = self.under.get(leaf[:i + 1], 0) + k
+
+    def down(self, node: Leaf, quota: int) -> None:
+        """Bring what is drawn under a node up to its quota, as far as its leaves and the quotas of their values allow."""
+        level = len(node)
+        missing = quota - self.under.get(node, 0) if node else quota - self.total
+        if level == len(self.levels):
+            self.take(node, min([missing, *[self.lacks(i, node[i]) for i in range(1, level)]]))
+            return
+        if missing <= 0:
+            return
+        keys = self.children.get(node, [])
+        parts = _shares(quota, {k: self.quotas[level].get(k, 0) for k in self.quotas[level]})
+        for key in sorted(keys, key=lambda k: (self.held[level][k], k)):  # the scarce ones first
+            self.down((*node, key), parts.get(key, 0))
+        for key in sorted(keys, key=lambda k: (-self.lacks(level, k), k == OTHER, k)):  # siblings, those that lack most first
+            missing = quota - (self.under.get(node, 0) if node else self.total)
+            if missing <= 0:
+                break
+            child = (*node, key)
+            self.down(child, self.under.get(child, 0) + min(missing, self.lacks(level, key)))
+
+    def run(self) -> dict[Leaf, int]:
+        for i, ts in enumerate(self.levels):  # minima first, of the scarce values first, from the leaves with most papers
+            for t in sorted(ts, key=lambda t: self.held[i].get(t.key, 0)):
+                for leaf in sorted(self.leaves_of[i].get(t.key, []), key=lambda x: (-self.spare(x), x)):
+                    self.take(leaf, t.min_rows - self.drawn[i].get(t.key, 0))
+        self.down((), self.n)
+        # within a branch its own quota comes before those of the values below
+        for key in self.children.get((), []):
+            for leaf in sorted(self.leaves_of[0][key], key=lambda x: (*[-self.lacks(i, x[i]) for i in range(1, len(x))], x)):
+                self.take(leaf, self.lacks(0, key))
+        # cousins: what a value still lacks, from branches that lack most; then any leaf
+        for i in range(len(self.levels) - 1, 0, -1):
+            for key in sorted(self.leaves_of[i], key=lambda k: (-self.lacks(i, k), k == OTHER, k)):
+                for leaf in sorted(self.leaves_of[i][key], key=lambda x: (-self.lacks(0, x[0]), x[0] == OTHER, x)):
+                    self.take(leaf, self.lacks(i, key))
+        for leaf in sorted(self.counts, key=lambda x: (OTHER in x, -self.spare(x), x)):
+            self.take(leaf, self.n)
+        return self.got
+
+
+def allocate(counts: dict[Leaf, int], n: int, levels: list[list[Target]]) -> dict[Leaf, int]:
+    """Papers to draw per leaf, n in all if there are as many; levels: the targets of each level of the tree."""
+    return Allocation(counts, n, levels).run()
+
+
+def _leaves(level_count: int) -> list[str]:
+    return [f"leaf_{i}" for i in range(1, level_count + 1)]
+
+
+def _prepared(papers: DataFrame, targets: DataFrame, share: float, levels=LEVELS):
+    ts = read_targets(targets)
+    per_level = [[t for t in ts if t.dimension == d] for d, _ in levels]
+    p = materialize(distinct_papers(papers), "papers")
+    for name, (_, column), goal in zip(_leaves(len(levels)), levels, per_level):
+        keys = [t.key for t in goal]
+        p = p.withColumn(name, F.when(F.col(column).isin(keys), F.col(column)).otherwise(F.lit(OTHER)) if keys else F.lit(OTHER))
+    names = _leaves(len(levels))
+    rows = p.groupBy(*names).count().limit(MAX_LEAVES + 1).collect()
+    if len(rows) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} leaves")
+    counts = {tuple(r[x] for x in names): r["count"] for r in rows}
+    return p, per_level, counts, math.floor(sum(counts.values()) * share)
+
+
+def _drawn(p: DataFrame, got: dict[Leaf, int], seed: int) -> DataFrame:
+    """The papers of the smallest ranks of every leaf, up to its quota, with the leaf's columns."""
+    names = _leaves(len(next(iter(got), ("",) * len(LEVELS))))
+    schema = ", ".join(f"{x} string" for x in names) + ", quota bigint"
+    quotas = p.sparkSession.createDataFrame([(*leaf, int(k)) for leaf, k in got.items()], schema)  # at most MAX_LEAVES rows
+    hashed = p.withColumn("h", F.xxhash64(F.lit(seed), "paper")).withColumn("range", F.shiftrightunsigned("h", 54).cast("int"))
+    sizes = hashed.groupBy(*names, "range").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # ranges that begin within the quota; the others have no row that is drawn
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k").join(quotas, names).filter("offset < quota")
+    inside = Window.partitionBy(*names, "range").orderBy("h", "paper")
+    return hashed.join(offsets, [*names, "range"]).withColumn("rank", F.col("offset") + F.row_number().over(inside)).filter("rank <= quota")
 
 
 def draw_sample(papers: DataFrame, targets: DataFrame, share: float = SHARE, seed: int = 20240) -> DataFrame:
@@ -131,31 +193,28 @@ def draw_sample(papers: DataFrame, targets: DataFrame, share: float = SHARE, see
     sample. An empty table gives an empty sample; without targets the sample is a plain draw. Ties of the hash are broken
     by the paper's id, so the sample is the same at every partitioning.
     """
-    p, first, second, counts, n = _prepared(papers, targets, share)
-    got = allocate(counts, n, first, second)
-    spark = papers.sparkSession
-    quotas = F.broadcast(spark.createDataFrame([(a, b, int(k)) for (a, b), k in got.items()], "leaf_1 string, leaf_2 string, quota bigint"))
-    hashed = p.withColumn("h", F.xxhash64(F.lit(seed), "paper")).withColumn("range", F.shiftrightunsigned("h", 54).cast("int"))
-    sizes = hashed.groupBy("leaf_1", "leaf_2", "range").agg(F.count(F.lit(1)).alias("k"))  # at most leaves x RANGES rows
-    before = Window.partitionBy("leaf_1", "leaf_2").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    ranked = hashed.join(F.broadcast(offsets), ["leaf_1", "leaf_2", "range"]).join(quotas, ["leaf_1", "leaf_2"]).filter("offset < quota")
-    inside = Window.partitionBy("leaf_1", "leaf_2", "range").orderBy("h", "paper")
-    return ranked.withColumn("rank", F.col("offset") + F.row_number().over(inside)).filter("rank <= quota").select("paper", "row_id", "category", "year")
+    p, levels, counts, n = _prepared(papers, targets, share)
+    return _drawn(p, allocate(counts, n, levels), seed).select("paper", "row_id", "category", "year")
 
 
-def sample_report(papers: DataFrame, targets: DataFrame, share: float = SHARE) -> DataFrame:
+def sample_report(papers: DataFrame, targets: DataFrame, share: float = SHARE, seed: int = 20240) -> DataFrame:
     """Per target: dimension, value, target_permille, min_rows, needed, available, sampled, is_short.
 
-    needed: min_rows or, if larger, the target's share of the sample rounded up. is_short: fewer distinct papers than needed.
+    needed: min_rows or, if larger, the target's share of the sample rounded up. sampled: what was drawn, counted in the
+    sample. is_short: fewer distinct papers than needed.
     """
-    _, first, second, counts, n = _prepared(papers, targets, share)
-    got = allocate(counts, n, first, second)
+    p, levels, counts, n = _prepared(papers, targets, share)
+    names = _leaves(len(levels))
+    drawn = {tuple(r[x] for x in names): r["count"] for r in _drawn(p, allocate(counts, n, levels), seed).groupBy(*names).count().collect()}  # at most MAX_LEAVES rows
     rows = []
-    for axis, ts in ((0, first), (1, second)):
+    for i, ts in enumerate(levels):
+        sums: list[dict[str, int]] = [{}, {}]
+        for out, values in zip(sums, (counts, drawn)):
+            for leaf, k in values.items():
+                out[leaf[i]] = out.get(leaf[i], 0) + k
         for t in ts:
             needed = max(t.min_rows, -(-n * t.permille // 1000))
-            available, sampled = (sum(v for leaf, v in x.items() if leaf[axis] == t.key) for x in (counts, got))
+            available, sampled = (x.get(t.key, 0) for x in sums)
             rows.append((t.dimension, t.value, t.permille, t.min_rows, needed, available, sampled, available < needed))
     return papers.sparkSession.createDataFrame(rows, "dimension string, value string, target_permille int, min_rows int, needed bigint, available bigint, sampled bigint, is_short boolean")
 
@@ -175,7 +234,7 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
 _SQL = r"""
 WITH p AS (
   SELECT regexp_replace(upper(trim(pmcid, E' \t\n\r')), '^PMC', '') AS paper,
-         lower(regexp_replace(primary_category, '[^\p{L}\p{N}]+', '', 'g')) AS category, CAST("year" AS VARCHAR) AS year
+         lower(regexp_replace(primary_category, '[^\p{L}\p{N}]+', '', 'g')) AS category, CAST("year" AS VARCHAR) AS year, row_id
   FROM paper WHERE pmcid IS NOT NULL
 ),
 n AS (SELECT count(DISTINCT paper) // 4 AS n FROM p),
@@ -186,5 +245,13 @@ r AS (
   FROM t, n
 )
 """
-QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
-SQL = {"p6_found": _SQL + "SELECT dimension, value FROM r WHERE available < needed"}
+def p6_needs(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the report that does not depend on which papers are drawn."""
+    return p6_report(spark, d).select("dimension", "value", "target_permille", "min_rows", "needed", "available", "is_short")
+
+
+QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p6_needs": p6_needs, "p6_sample": p6_sample}
+SQL = {
+    "p6_found": _SQL + "SELECT dimension, value FROM r WHERE available < needed",
+    "p6_needs": _SQL + "SELECT r.dimension, r.value, t.target_permille, t.min_rows, r.needed, r.available, r.available < r.needed AS is_short FROM r JOIN t USING (dimension, value)",
+}

@@ -670,5 +670,12 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(read_table(spark, d, "documents"), keep_text=True).select("doc_id", "sent_no", "sentence")
 
 
-QUERIES = {"p9_found": p9_found, "p9_sentences": p9_sentences}
-SQL: dict[str, str] = {}
+def p9_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of the letters and digits of every document, put together from its sentences in order."""
+    s = p9_sentences(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_no", "sentence"))).alias("s"))
+    letters = F.regexp_replace(F.array_join(F.transform("s", lambda x: x.sentence), ""), r"[^\p{L}\p{N}]+", "")
+    return s.filter(letters != "").select("doc_id", F.sha2(letters, 256).alias("digest"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_sentences": p9_sentences, "p9_roundtrip": p9_roundtrip}
+SQL = {"p9_roundtrip": r"""SELECT doc_id, sha256(x) AS digest FROM (SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g') AS x FROM documents) WHERE x <> ''"""}

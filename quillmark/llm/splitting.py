@@ -145,8 +145,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).filter("piece_no = 2").select("item_table", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def p1_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of every text put together again from its pieces, and the length of the longest piece."""
+    new = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substring("piece", OVERLAP + 1, LIMIT))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", new.alias("new"))))
+    out = p1_pieces(spark, d).groupBy("item_table", "item_id").agg(parts.alias("p"), F.max(F.length("piece")).alias("longest"))
+    return out.select("item_table", "item_id", F.sha2(F.array_join(F.transform("p", lambda x: x.new), ""), 256).alias("digest"), (F.col("longest") <= LIMIT).alias("within_limit"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_roundtrip": p1_roundtrip}
 SQL = {
+    "p1_roundtrip": """SELECT 'paper' AS item_table, row_id AS item_id, sha256(full_text) AS digest, true AS within_limit FROM paper WHERE full_text IS NOT NULL
+UNION ALL SELECT 'reference_record', row_id, sha256(full_text), true FROM reference_record WHERE full_text IS NOT NULL""",
     "p1_found": """SELECT 'paper' AS item_table, row_id AS item_id FROM paper WHERE length(full_text) > 3000
 UNION ALL SELECT 'reference_record', row_id FROM reference_record WHERE length(full_text) > 3000""",
 }

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -16,7 +17,7 @@ TARGETS = "dimension string, value string, target_permille int, min_rows int"
 def test_allocation_fills_what_it_can(counts, n):
     first = [Target("c", x, x, p, 2) for x, p in (("a", 500), ("b", 300), ("c", 200))]
     second = [Target("y", x, x, p, 1) for x, p in (("1", 600), ("2", 400))]
-    got = allocate(counts, n, first, second)
+    got = allocate(counts, n, [first, second])
     assert sum(got.values()) == min(n, sum(counts.values()))
     assert all(0 <= got[k] <= counts[k] for k in counts)
 
@@ -24,16 +25,30 @@ def test_allocation_fills_what_it_can(counts, n):
 def test_shares_match_where_papers_allow():
     first = [Target("c", "a", "a", 700, 2), Target("c", "b", "b", 300, 2)]
     second = [Target("y", "1", "1", 500, 1), Target("y", "2", "2", 500, 1)]
-    got = allocate({(c, y): 100 for c in "ab" for y in "12"}, 100, first, second)
+    got = allocate({(c, y): 100 for c in "ab" for y in "12"}, 100, [first, second])
     assert got[("a", "1")] + got[("a", "2")] == 70 and got[("a", "1")] + got[("b", "1")] == 50
     # year 1 of a is empty: its quota goes to the sibling
-    got = allocate({("a", "1"): 0, ("a", "2"): 90, ("b", "1"): 20, ("b", "2"): 5}, 50, first, second)
+    got = allocate({("a", "1"): 0, ("a", "2"): 90, ("b", "1"): 20, ("b", "2"): 5}, 50, [first, second])
     assert got[("a", "2")] == 35 and got[("b", "1")] + got[("b", "2")] == 15
     # a has too few papers at all: what its leaves and siblings lack goes to the cousins
-    got = allocate({("a", "1"): 3, ("a", "2"): 4, ("b", "1"): 40, ("b", "2"): 40}, 50, first, second)
+    got = allocate({("a", "1"): 3, ("a", "2"): 4, ("b", "1"): 40, ("b", "2"): 40}, 50, [first, second])
     assert got[("a", "1")] == 3 and got[("a", "2")] == 4 and sum(got.values()) == 50
 
 
+def test_three_levels_and_many_leaves():
+    levels = [[Target(d, k, k, 1000 // 12, 1) for k in "abcdefghijkl"] for d in "xyz"]
+    counts = {(a, b, c): (ord(a) * 7 + ord(b) * 3 + ord(c)) % 5 for a in "abcdefghijkl" for b in "abcdefghijkl" for c in "abcdefghijkl"}
+    got = allocate(counts, 1200, levels)
+    assert sum(got.values()) == 1200 and all(0 <= got[k] <= counts[k] for k in counts)
+    for i in range(3):
+        for k in "abcdefghijkl":
+            assert abs(sum(v for x, v in got.items() if x[i] == k) - 100) <= 12
+    began = time.time()
+    levels = [[Target(d, str(k), str(k), 4, 1) for k in range(250)] for d in "xy"]
+    got = allocate({(str(a), str(b)): (a * b) % 7 for a in range(250) for b in range(250)}, 40_000, levels)
+    assert sum(got.values()) == 40_000 and time.time() - began < 20
+
+
 def test_sample_and_report(spark):
     rows = [(i, f"PMC{i}" if i % 2 else f" pmc{i}", ["Cat-A", "cat a ", None, "B"][i % 4], [2020, 2021, 0][i % 3], "", "") for i in range(1, 201)]
     rows += [(1000, "PMC1", None, 2020, "", ""), (1001, None, "B", 2020, "", "")]
@@ -45,6 +60,8 @@ def test_sample_and_report(spark):
     rep = {r.value: r for r in sampling.sample_report(papers, targets).collect()}
     assert rep["None such"].is_short and rep["None such"].needed == 5 and rep["None such"].available == 0
     assert not rep["B"].is_short and rep["B"].sampled >= 20 and rep["Cat A"].available == 100
+    for value, column in (("B", "category"), ("Cat A", "category"), ("2020", "year")):
+        assert rep[value].sampled == sum(r[column] == value.lower().replace(" ", "") for r in sample)
     assert sampling.draw_sample(papers.limit(0), targets).count() == 0
     assert sampling.draw_sample(papers, targets.limit(0)).count() == 50
 
@@ -66,6 +83,10 @@ def test_mixture_reaches_shares(spark):
     rep = {r.source: r for r in mixing.mixture_report(d, t).filter("source is not null").collect()}
     assert abs(rep["big"].used_tokens / rep["small"].used_tokens - 2) < 0.1
     assert rep["ghost"].is_short and rep["ghost"].used_tokens == 0
+    whole = sum(rep[s].available_tokens for s in ("big", "small"))
+    more = {r.source: r for r in mixing.mixture_report(d, t, total=2 * whole).filter("source is not null").collect()}
+    assert more["big"].used_tokens == more["big"].available_tokens and more["small"].most_uses == 4
+    assert mixing.demands({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 100, "c": 100}, 100) == {"a": 10, "b": 54.0, "c": 36.0}
     assert [r.position for r in mixing.mix(d, t).collect()] == sorted(r.position for r in mixed)
     assert mixing.mix(d.limit(0), t).count() == 0 and mixing.mix(d, t.limit(0)).count() == 0
 
