@@ -358,7 +358,7 @@ class LatentSpace:
         for i in range(len(items)):
             t, x = term[doc == i], at[doc == i]
             begins = [p for p in np.unique(x) if p == 0 or p + STRIDE <= x.max() + 1]
-            self.pairs.append(np.unique(t[:-1] * np.int64(len(self.idf)) + t[1:]))
+            self.pairs.append(frozenset((t[:-1] * np.int64(len(self.idf)) + t[1:]).tolist()))
             self.least_pairs[i] = SIDE_BY_SIDE * min(len(np.unique((t[:-1] * np.int64(len(self.idf)) + t[1:])[(x[:-1] >= p) & (x[1:] < p + STRIDE)])) for p in begins)
             for kept in (~common[t], np.ones(len(t), dtype=bool)):
                 runs = [np.unique(t[kept & (x >= p) & (x < p + STRIDE)]) for p in begins]
@@ -370,10 +370,10 @@ class LatentSpace:
         self.list_items = lists[:, 1]
         self.list_from = np.searchsorted(lists[:, 0], np.arange(len(self.idf) + 1))
 
-    def side_by_side(self, terms: np.ndarray, item: int) -> bool:
-        """Whether a document has enough of the item's neighbouring units as neighbours."""
+    def neighbours(self, terms: np.ndarray) -> set[int]:
+        """The pairs of neighbouring units of a document."""
         t = np.asarray(terms, dtype=np.int64)
-        return np.isin(self.pairs[item], t[:-1] * len(self.idf) + t[1:]).sum() >= self.least_pairs[item]
+        return set((t[:-1] * len(self.idf) + t[1:]).tolist())
 
     def searcher(self) -> "LatentSpace":
         """What the executors need of it."""
@@ -397,8 +397,8 @@ class LatentSpace:
         alike, number = np.unique(passage, return_inverse=True)
         mine = np.isin(row, alike)
         row2, term2, w = _weights(np.searchsorted(alike, row[mine]), term[mine], len(alike), self.idf)
-        sims = _unit(_times(row2, term2, w, len(alike), self.basis)) @ self.queries.T
-        best = np.maximum.reduceat(sims, np.flatnonzero(np.r_[True, self.owners[1:] != self.owners[:-1]]), axis=1)[number, item]
+        sims = self.queries @ _unit(_times(row2, term2, w, len(alike), self.basis)).T
+        best = np.maximum.reduceat(sims, np.flatnonzero(np.r_[True, self.owners[1:] != self.owners[:-1]]), axis=0)[item, number]
         ok = (best >= cosine) | self.short[item] & (share >= SHARED_RUN)
         return passage[ok], item[ok], best[ok], share[ok]
 
@@ -419,11 +419,12 @@ def candidates(space: LatentSpace, cosine: float = COSINE) -> DataFrame:
                 for p, i, c, share in zip(*(x.tolist() for x in space_.search(row, term, n, cosine))):
                     key = (int(owner[p]), i)
                     hits[key] = tuple(map(max, (c, share), hits.get(key, (-1.0, 0.0))))
-            ids, rows, known = pdf["doc_id"].to_numpy(), [], {}
+            ids, terms, rows, known = pdf["doc_id"].to_numpy(), pdf["terms"].to_numpy(), [], {}
             for (k, i), (c, share) in hits.items():
                 if k not in known:
-                    known[k] = set(pdf["terms"].iloc[k].tolist())
-                if (share >= SHARED_RUN and space_.side_by_side(pdf["terms"].iloc[k], i)) or len(space_.telling[i] & known[k]) >= ANSWER_SHARE * len(space_.telling[i]):
+                    known[k] = set(terms[k].tolist()), space_.neighbours(terms[k])
+                mine, beside = known[k]
+                if (share >= SHARED_RUN and len(space_.pairs[i] & beside) >= space_.least_pairs[i]) or len(space_.telling[i] & mine) >= ANSWER_SHARE * len(space_.telling[i]):
                     rows.append((ids[k], i, c))
             yield pd.DataFrame(rows, columns=["doc_id", "item", "cosine"]).astype({"doc_id": "int64", "item": "int32", "cosine": "float64"})
 
