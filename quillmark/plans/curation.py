@@ -295,7 +295,7 @@ def _topics(spark, d):
 def topic_coverage_sample(spark, d):
     """Topic-coverage sample of up to 40 papers a year, each under one of its categories, by the weights of all deliveries (SL1, SL4, AG5)."""
     c, hits = _topics(spark, d)
-    return topic_sample(c, "year", "category", "pos", "paper", 40, 2, hits)
+    return topic_sample(c, "year", "category", "pos", "paper", 40, 2, hits).withColumn("pick_no", F.col("pick_no").cast("bigint"))
 
 
 @query(_TOPICS + """SELECT w.y AS "year", w.cat AS category, w.n AS candidates, w.h AS hits, round(w.weight, 3) AS weight, (SELECT count(*) FROM picks p WHERE p."year" = w.y AND p.category = w.cat) AS sampled FROM w""")
