@@ -183,8 +183,9 @@ def citations(articles: DataFrame, key: str) -> DataFrame:
 def contexts(articles: DataFrame, key: str) -> DataFrame:
     """(key, article_no, reference_id, contexts): for every reference that is cited the paragraphs that do, once per citation,
     in order (PRJ10, JN2, JN3). Citations of unknown references are dropped."""
-    known = references(articles, key).select(key, "article_no", "reference_id").distinct()
-    cited = citations(articles, key).join(known, [key, "article_no", "reference_id"])
+    each = articles.select(key, "article_no", F.transform("references", lambda r: r.reference_id).alias("_known"), F.inline("paragraphs"))
+    cited = each.select(key, "article_no", "_known", "paragraph_index", F.col("text").alias("context"), F.posexplode("citations").alias("place", "c"))
+    cited = cited.filter(F.array_contains("_known", F.col("c.reference_id"))).select(key, "article_no", F.col("c.reference_id").alias("reference_id"), "paragraph_index", "place", "context")
     place = F.struct("paragraph_index", "place", "context")
     packed = cited.groupBy(key, "article_no", "reference_id").agg(F.array_sort(F.collect_list(place)).alias("x"))
     return packed.select(key, "article_no", "reference_id", F.transform("x", lambda c: F.struct(c.paragraph_index.alias("paragraph_index"), c.context.alias("context"))).alias("contexts"))
